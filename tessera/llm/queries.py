@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.llm import sharding
+from tessera.llm.common import written
 from tessera.llm.token_counts import token_counts
 from tessera.sources.tables import load
 
@@ -11,6 +13,29 @@ from tessera.sources.tables import load
 TOKENIZER = "byte_bpe_50k.json"
 
 
+#: Shards of op6.
+SHARDS = 16
+
+
+def op6_sharding(spark, sf_dir):
+    """Every document in one of SHARDS shards of nearly equal bytes."""
+    docs = load(spark, sf_dir, "documents")
+    text = F.col("text")
+    narrow = written(
+        docs.select(
+            "doc_id",
+            sharding.record_bytes(text).alias("size"),
+            F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
+            sharding.virtual_slot(F.col("doc_id"), text).alias("virtual_slot"),
+        ),
+        "op6",
+    )
+    slot_map = sharding.first_map(sharding.slot_bytes(narrow), SHARDS)
+    owned = narrow.join(F.broadcast(slot_map.drop("version")), "virtual_slot")
+    law = F.lit("bytes").alias("law")
+    return sharding.placed(owned, ["doc_id", "size", "text_crc32"]).select("doc_id", "size", "text_crc32", law, "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
 def op10_token_counts(spark, sf_dir):
     """Tokens of every document by the library of TOKENIZER."""
     import public_tokenizers
@@ -19,6 +44,6 @@ def op10_token_counts(spark, sf_dir):
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
-QUERIES = {f.__name__: f for f in (op10_token_counts,)}
+QUERIES = {f.__name__: f for f in (op6_sharding, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
