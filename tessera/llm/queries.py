@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import sharding
+from tessera.llm import chat, sharding
 from tessera.llm.common import written
 from tessera.llm.token_counts import token_counts
 from tessera.sources.tables import load
@@ -36,6 +36,17 @@ def op6_sharding(spark, sf_dir):
     return sharding.placed(owned, ["doc_id", "size", "text_crc32"]).select("doc_id", "size", "text_crc32", law, "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+#: What both turns of the query's own conversation -1 say.
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+def op8_chat(spark, sf_dir):
+    """Every conversation, and conversation -1 of CONTROL, formatted and read back."""
+    own = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    chats = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(chat.formatted(chats)).withColumnRenamed("conv", "conv_id")
+
+
 def op10_token_counts(spark, sf_dir):
     """Tokens of every document by the library of TOKENIZER."""
     import public_tokenizers
@@ -44,6 +55,6 @@ def op10_token_counts(spark, sf_dir):
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
-QUERIES = {f.__name__: f for f in (op6_sharding, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op6_sharding, op8_chat, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
