@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import chat, sharding
 from tessera.llm.common import written
+from tessera.llm.topk import top_k
 from tessera.llm.token_counts import token_counts
 from tessera.sources.tables import load
 
@@ -13,6 +14,13 @@ from tessera.sources.tables import load
 TOKENIZER = "byte_bpe_50k.json"
 
 
+
+
+def op1_topk(spark, sf_dir):
+    """The 20 best rows for every row whose vec_id is divisible by 20."""
+    return top_k(load(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 #: Shards of op6.
 SHARDS = 16
 
@@ -55,6 +63,6 @@ def op10_token_counts(spark, sf_dir):
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
-QUERIES = {f.__name__: f for f in (op6_sharding, op8_chat, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_topk, op6_sharding, op8_chat, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
