@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm import chat, sharding
 from tessera.llm.common import written
-from tessera.llm.topk import top_k
+from tessera.llm.neardup import near_duplicates
 from tessera.llm.token_counts import token_counts
+from tessera.llm.topk import top_k
 from tessera.sources.tables import load
 
 #: The tokenizer of op10.
@@ -21,6 +22,12 @@ def op1_topk(spark, sf_dir):
     return top_k(load(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op2_near_duplicates(spark, sf_dir):
+    """The class of every document; a class keeps the document of its id."""
+    found = near_duplicates(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_kept"))
+
+
 #: Shards of op6.
 SHARDS = 16
 
@@ -63,6 +70,6 @@ def op10_token_counts(spark, sf_dir):
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op6_sharding, op8_chat, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_near_duplicates, op6_sharding, op8_chat, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
