@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.llm import chat, sharding
 from tessera.llm.common import written
 from tessera.llm.decontaminate import contaminated
+from tessera.llm.mixing import mixed_sample
 from tessera.llm.neardup import near_duplicates
 from tessera.llm.token_counts import token_counts
 from tessera.llm.topk import top_k
@@ -29,6 +30,12 @@ def op2_near_duplicates(spark, sf_dir):
     return found.select("doc_id", "class_id", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_kept"))
 
 
+def op4_mixing(spark, sf_dir):
+    """The documents sampled to raked source, language and topic marginals, with their probabilities."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixed_sample(docs).drop("text")
+
+
 def op5_decontamination(spark, sf_dir):
     """Every document with every benchmark item that it holds a passage of."""
     return contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
@@ -76,6 +83,6 @@ def op10_token_counts(spark, sf_dir):
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_near_duplicates, op5_decontamination, op6_sharding, op8_chat, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_near_duplicates, op4_mixing, op5_decontamination, op6_sharding, op8_chat, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
