@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, sharding
+from tessera.llm import chat, quality, sharding
 from tessera.llm.common import written
 from tessera.llm.decontaminate import contaminated
 from tessera.llm.mixing import mixed_sample
@@ -30,6 +30,13 @@ def op2_near_duplicates(spark, sf_dir):
     return found.select("doc_id", "class_id", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_kept"))
 
 
+def op3_quality(spark, sf_dir):
+    """The documents that the quality classifier keeps, with their evidence and posteriors; host: source, path: language within it."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    model = quality.trained(docs, load(spark, sf_dir, "labels"))
+    return quality.accepted(quality.rated(docs, model, F.col("source"), F.col("lang"), keep_text=False))
+
+
 def op4_mixing(spark, sf_dir):
     """The documents sampled to raked source, language and topic marginals, with their probabilities."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -83,6 +90,6 @@ def op10_token_counts(spark, sf_dir):
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_near_duplicates, op4_mixing, op5_decontamination, op6_sharding, op8_chat, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_near_duplicates, op3_quality, op4_mixing, op5_decontamination, op6_sharding, op8_chat, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
