@@ -26,6 +26,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -178,26 +179,32 @@ class Items:
         return best, ends
 
 
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> list[Broadcast]:
+    """Broadcasts of (distinct compared texts, ids of each), of about BLOCK_CHARS characters each."""
+    items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = -(-chars // BLOCK_CHARS) or 1
+    out = []
+    for block in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
+        of: dict[str, list] = {}
+        for row, text in zip(rows, normal(pa.array([r.text for r in rows], pa.string())).to_pylist(), strict=True):
+            if len(text) >= SHORTEST:
+                of.setdefault(text, []).append(row.item)
+        out.append(benchmark.sparkSession.sparkContext.broadcast((list(of), list(of.values()))))
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``id_col``, ``item_col``, edits, ends_at: one row for each row of ``docs`` and item found in it.
 
     ``ends_at`` is the place in the compared form of the text where the first best window ends.
     """
-    items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-chars // BLOCK_CHARS) or 1
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    kind = pa.int64() if kinds[1] == "bigint" else None
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
-    def scanned(block: int) -> DataFrame:
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()  # about BLOCK_CHARS characters
-        own = normal(pa.array([r.text for r in rows], pa.string()))
-        of: dict[str, list] = {}
-        for row, text in zip(rows, own.to_pylist(), strict=True):
-            if len(text) >= SHORTEST:
-                of.setdefault(text, []).append(row.item)
-        held = read.sparkSession.sparkContext.broadcast((list(of), list(of.values())))
-
+    def scanned(held: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts, ids = held.value
             index = Items(texts) if texts else None
@@ -209,8 +216,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     id_ = part.column("id").take(pa.array(np.repeat(text, n)))
                     yield pa.RecordBatch.from_arrays([id_, pa.array(names, kind), pa.array(np.repeat(edits, n), pa.int32()), pa.array(np.repeat(ends, n))], ["id", "item", "edits", "ends_at"])
 
-        kind = pa.int64() if kinds[1] == "bigint" else None
         return read.mapInArrow(run, f"id {kinds[0]}, item {kinds[1]}, edits int, ends_at long")
 
-    every = reduce(DataFrame.unionByName, [scanned(b) for b in range(blocks)])
+    every = reduce(DataFrame.unionByName, [scanned(held) for held in _blocks(benchmark, item_col, item_text_col)])
     return every.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "edits", "ends_at")
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no item is found, with all their columns; nothing is shuffled."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    for held in _blocks(benchmark, item_col, item_text_col):
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            texts, _ = held.value
+            index = Items(texts) if texts else None
+            for batch in batches:
+                for part in slices(batch, text_col, 1 << 19):
+                    clean = np.ones(part.num_rows, bool)
+                    if index:
+                        clean[index.found(normal(part.column(text_col)))[0]] = False
+                    yield part.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, kinds)
+    return docs

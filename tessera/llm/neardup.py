@@ -243,3 +243,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = labelled.groupBy("component").agg(F.min("first_id").alias("class_id"))
     named = labelled.join(classes, "component").select("name", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return signed.select("id", "name").join(named, "name").select(F.col("id").alias(id_col), "name", "class_id", "n_links")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """One row of ``docs`` for each class of ``near_duplicates``: that of the smallest id, with its smallest name.
+
+    Rows meet their class by name and id; of rows that are equal in both (repeated rows, null
+    ids) one stays.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options)
+    rows = found.select(F.col(id_col).alias("_id"), F.col("name").alias("_name"), "class_id")
+    own = written(rows.where(F.col("_id").eqNullSafe(F.col("class_id"))), "near-own")
+    # classes have the id in common only where rows repeat an id, so the name tells them apart
+    keep = own.groupBy("_id", "_name").agg(F.count("*").alias("_copies"))
+    repeated = not keep.where("_copies > 1").isEmpty()
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col, 2 << 20):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_names(part.column(text_col)), pa.binary())], [*part.schema.names, "_name"])
+
+    named = docs.mapInArrow(run, f"{kinds}, _name binary")
+    kept = named.join(keep.select(F.col("_id"), F.col("_name").alias("_keep")), (F.col("_name") == F.col("_keep")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    return (kept.dropDuplicates(["_name"]) if repeated else kept).drop("_name")
