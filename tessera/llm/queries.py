@@ -9,6 +9,7 @@ from tessera.llm.common import written
 from tessera.llm.decontaminate import contaminated
 from tessera.llm.mixing import mixed_sample
 from tessera.llm.neardup import near_duplicates
+from tessera.llm.substrings import without_repeats
 from tessera.llm.token_counts import token_counts
 from tessera.llm.topk import top_k
 from tessera.sources.tables import load
@@ -71,6 +72,13 @@ def op6_sharding(spark, sf_dir):
     return sharding.placed(owned, ["doc_id", "size", "text_crc32"]).select("doc_id", "size", "text_crc32", law, "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op7_substrings(spark, sf_dir):
+    """What is left of every document without the 200-byte strings that occur more than once."""
+    cut = without_repeats(load(spark, sf_dir, "documents"), length=200, keep="none")
+    n_bytes, n_kept = F.octet_length("data").cast("long"), F.octet_length("kept").cast("long")
+    return cut.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - n_kept).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: What both turns of the query's own conversation -1 say.
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -90,6 +98,6 @@ def op10_token_counts(spark, sf_dir):
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_near_duplicates, op3_quality, op4_mixing, op5_decontamination, op6_sharding, op8_chat, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_near_duplicates, op3_quality, op4_mixing, op5_decontamination, op6_sharding, op7_substrings, op8_chat, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
