@@ -9,6 +9,7 @@ from tessera.llm.common import written
 from tessera.llm.decontaminate import contaminated
 from tessera.llm.mixing import mixed_sample
 from tessera.llm.neardup import near_duplicates
+from tessera.llm.pii import pseudonymised
 from tessera.llm.substrings import without_repeats
 from tessera.llm.token_counts import token_counts
 from tessera.llm.topk import top_k
@@ -28,7 +29,7 @@ def op1_topk(spark, sf_dir):
 def op2_near_duplicates(spark, sf_dir):
     """The class of every document; a class keeps the document of its id."""
     found = near_duplicates(load(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_kept"))
+    return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_kept"))
 
 
 def op3_quality(spark, sf_dir):
@@ -90,6 +91,15 @@ def op8_chat(spark, sf_dir):
     return chat.digests(chat.formatted(chats)).withColumnRenamed("conv", "conv_id")
 
 
+#: The key of op9's surrogates; a deployment sets its own.
+SURROGATE_KEY = "tessera"
+
+
+def op9_pii(spark, sf_dir):
+    """Every document with personal data and secrets replaced by surrogates."""
+    return pseudonymised(load(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
 def op10_token_counts(spark, sf_dir):
     """Tokens of every document by the library of TOKENIZER."""
     import public_tokenizers
@@ -98,6 +108,6 @@ def op10_token_counts(spark, sf_dir):
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_near_duplicates, op3_quality, op4_mixing, op5_decontamination, op6_sharding, op7_substrings, op8_chat, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_near_duplicates, op3_quality, op4_mixing, op5_decontamination, op6_sharding, op7_substrings, op8_chat, op9_pii, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
