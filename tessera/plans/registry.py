@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules whose import registers queries.
-CATALOG = ("core",)
+CATALOG = ("core", "joins", "aggregates", "windows")
 
 
 @dataclass(frozen=True)
