@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules whose import registers queries.
-CATALOG = ("core", "joins", "aggregates", "windows", "projection", "expressions", "scalars", "collections")
+CATALOG = ("core", "joins", "aggregates", "windows", "projection", "expressions", "scalars", "collections", "session")
 
 
 @dataclass(frozen=True)
