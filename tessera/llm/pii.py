@@ -57,9 +57,9 @@ ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
 def may_hold(text: Column) -> Column:
-    """Whether a text has what every entity needs: a digit, an @, a key word with its sign, or a title before a name."""
+    """Whether a text has what every entity needs: a digit, an @, a key prefix, a key word with its sign, or a title before a name."""
     sign = (text.contains("=") | text.contains(":")) & text.rlike(_SECRET)
-    return text.contains("@") | text.rlike("[0-9]") | sign | text.rlike(_TITLED)
+    return text.contains("@") | text.rlike("[0-9]") | text.contains("AKIA") | sign | text.rlike(_TITLED)
 
 
 def mentions(text: Column) -> Column:
