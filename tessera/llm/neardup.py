@@ -12,12 +12,17 @@ candidate pair is verified exactly on its shingles. With 30 bands of 5 coordinat
 0.8 is missed with a probability below 1e-5. Words are what white space separates, in lower
 case; a text of fewer than five words is one shingle.
 
-The work on a band's group grows with its size, not with its pairs:
+No pairs of a group are emitted:
 
 * equal word sequences are one node from the start, and so are all texts without words;
 * every node is first held against the smallest node of one of its groups, and links that
   verify join components;
-* only pairs of a group that still lie in different components are held against each other.
+* families (nodes that groups connect) which still hold several components are settled in
+  blocks: a family's nodes are dealt to blocks of about BLOCK, and a task holds the nodes of
+  two blocks. It skips pairs that share no band, lie in one component, or whose sizes or
+  signatures rule out the similarity, verifies the others from the likeliest on, and emits a
+  link only where that joins two components. Each pair of a family is so met once, in
+  tasks of bounded size, however large the family is.
 
 A document's class is the smallest id in its component (null ids stand only where a class
 has no other). Repeated rows are copies; null texts count as empty; other columns aren't read.
@@ -39,6 +44,9 @@ from tessera.llm.components import components
 #: Words of a shingle, similarity of a link, bands, coordinates of a band.
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 30, 5
 
+#: Nodes of a block, pairs verified at a time, and standard deviations below the similarity at which a signature rules a pair out.
+BLOCK, AT_ONCE, SURE = 512, 2000, 5.5
+
 #: Bits of a shingle's hash; the rest of a 64-bit key holds the row in its slice.
 _BITS = 44
 _STEP, _COORDINATE, _HEIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
@@ -143,7 +151,7 @@ def _names(texts: pa.Array) -> list[bytes]:
 
 
 def _signed(docs: DataFrame, id_kind: str, bands: int, rows: int, words: int, counted: bool) -> DataFrame:
-    """id, name, n_shingles, bands of each row; bands and n_shingles only where a task meets a word sequence first."""
+    """id, name, n_shingles, bands, sketch (a byte per coordinate) of each row; all but id and name only where a task meets a word sequence first."""
     kinds = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,14 +164,17 @@ def _signed(docs: DataFrame, id_kind: str, bands: int, rows: int, words: int, co
                 row, element, count = shingles(texts.take(pa.array(fresh, pa.int64())), words)
                 size = np.bincount(row, minlength=len(fresh))
                 weight = count.astype(np.float64) if counted else np.ones(len(row))
-                keys = band_keys(signatures(row, element, weight, len(fresh), bands * rows), bands, rows)
+                signature = signatures(row, element, weight, len(fresh), bands * rows)
+                keys, sketch = band_keys(signature, bands, rows), (signature >> np.uint64(56)).astype(np.uint8)
                 wide: list = [None] * len(names)
                 n: list = [None] * len(names)
-                for i, k, s in zip(fresh, keys.tolist(), size.tolist(), strict=True):
-                    wide[i], n[i] = (k if s else []), s
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(names, pa.binary()), pa.array(n, pa.int64()), pa.array(wide, kinds)], ["id", "name", "n_shingles", "bands"])
+                short: list = [None] * len(names)
+                for i, k, s, x in zip(fresh, keys.tolist(), size.tolist(), sketch, strict=True):
+                    wide[i], n[i], short[i] = (k if s else []), s, x.tobytes()
+                columns = [part.column("id"), pa.array(names, pa.binary()), pa.array(n, pa.int64()), pa.array(wide, kinds), pa.array(short, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "name", "n_shingles", "bands", "sketch"])
 
-    return docs.mapInArrow(run, f"id {id_kind}, name binary, n_shingles long, bands array<long>")
+    return docs.mapInArrow(run, f"id {id_kind}, name binary, n_shingles long, bands array<long>, sketch binary")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -180,6 +191,22 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "name binary, text string")
 
 
+def similarities(row: np.ndarray, element: np.ndarray, count: np.ndarray, n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The (weighted) Jaccard similarity of the sets i and j, of ``n`` sets given by rows in order."""
+    ends = np.searchsorted(row, np.arange(n + 1))
+    total = np.bincount(row, count, n)
+
+    def side(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = ends[of + 1] - ends[of]
+        at = np.repeat(ends[of], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return (np.repeat(np.arange(len(of)), size).astype(np.uint64) << np.uint64(_BITS)) | element[at], count[at]
+
+    (a, n_a), (b, n_b) = side(i), side(j)
+    both, x, y = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    shared = np.bincount((both >> np.uint64(_BITS)).astype(np.int64), np.minimum(n_a[x], n_b[y]), len(i))
+    return shared / np.maximum(total[i] + total[j] - shared, 1)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int, counted: bool) -> DataFrame:
     """The pairs (a, b) whose exact (weighted) Jaccard similarity reaches ``similarity``."""
 
@@ -187,15 +214,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int,
         for batch in batches:
             for part in slices(batch, "x", 1 << 20):
                 n = part.num_rows
-                sides = []
-                for c in ("x", "y"):
-                    row, element, count = shingles(part.column(c), words)
-                    count = count if counted else np.ones(len(row), np.int64)
-                    sides.append(((row.astype(np.uint64) << np.uint64(_BITS)) | element, count, np.bincount(row, count, n)))
-                (a, n_a, all_a), (b, n_b, all_b) = sides
-                both, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-                shared = np.bincount((both >> np.uint64(_BITS)).astype(np.int64), np.minimum(n_a[i], n_b[j]), n)
-                keep = pa.array(shared >= similarity * (all_a + all_b - shared) - 1e-9)
+                row, element, count = shingles(pa.concat_arrays([part.column("x"), part.column("y")]), words)
+                count = count if counted else np.ones_like(count)
+                keep = pa.array(similarities(row, element, count, 2 * n, np.arange(n), np.arange(n) + n) >= similarity - 1e-9)
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], ["a", "b"])
 
     one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
@@ -203,18 +224,91 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int,
     return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _joining(block: pa.Table, similarity: float, words: int, counted: bool) -> list[tuple[int, int]]:
+    """Links of ``similarity`` among the nodes of two blocks of a family (of one if they are equal) that join components."""
+    i_block, j_block = block["low"][0].as_py(), block["high"][0].as_py()
+    own = block["block"].to_numpy()
+    left = np.flatnonzero(own == i_block)
+    right = np.flatnonzero(own == j_block)
+    part = np.unique(block["part"].to_numpy(), return_inverse=True)[1]
+    size = block["n"].to_numpy()
+    keys = block["bands"].combine_chunks().flatten().to_numpy().reshape(len(own), -1)
+    sketch = np.frombuffer(b"".join(block["sketch"].to_pylist()), np.uint8).reshape(len(own), -1)
+    spread = SURE * np.sqrt(similarity * (1 - similarity) / sketch.shape[1])
+    found = []
+    for at in range(0, len(left), 32):  # 32 rows of the matrix of pairs at a time
+        rows = left[at : at + 32]
+        hit = part[rows][:, None] != part[right][None, :]
+        if i_block == j_block:
+            hit &= rows[:, None] < right[None, :]
+        if not counted:
+            hit &= np.minimum(size[rows][:, None], size[right]) >= similarity * np.maximum(size[rows][:, None], size[right])
+        x, y = np.nonzero(hit)
+        x, y = rows[x], right[y]
+        keep = (keys[x] == keys[y]).any(1)
+        x, y = x[keep], y[keep]
+        like = (sketch[x] == sketch[y]).mean(1)
+        keep = like >= similarity - spread
+        found.append(np.stack([x[keep], y[keep], (like[keep] * 1e6).astype(np.int64)], 1))
+    pairs = np.concatenate(found) if found else np.empty((0, 3), np.int64)
+    if not len(pairs):
+        return []
+    row, element, count = shingles(block["text"].combine_chunks(), words)
+    count = count if counted else np.ones_like(count)
+    pairs = pairs[np.argsort(-pairs[:, 2], kind="stable")]
+    links = []
+    while len(pairs):
+        now, pairs = pairs[:AT_ONCE], pairs[AT_ONCE:]
+        good = now[similarities(row, element, count, len(own), now[:, 0], now[:, 1]) >= similarity - 1e-9]
+        for a, b, _ in good.tolist():
+            if part[a] != part[b]:
+                part[part == part[b]] = part[a]
+                links.append((a, b))
+        pairs = pairs[part[pairs[:, 0]] != part[pairs[:, 1]]]
+    node = block["node"].to_numpy()
+    return [(int(min(node[a], node[b])), int(max(node[a], node[b]))) for a, b in links]
+
+
+def _settled(rows: DataFrame, similarity: float, words: int, counted: bool) -> DataFrame:
+    """a, b: joining links of the families in ``rows`` (family, low, high, block, node, part, n, bands, sketch, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy() for c in ("family", "low", "high")], 1)
+            limits = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(limits, limits[1:], strict=False):
+                if held and tuple(key[i]) != at:
+                    yield from done(held)
+                    held = []
+                held.append(batch.slice(i, j - i))
+                at = tuple(key[i])
+        if held:
+            yield from done(held)
+
+    def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if links := _joining(pa.Table.from_batches(held), similarity, words, counted):
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links]), pa.array([b for _, b in links])], ["a", "b"])
+
+    keys = ["family", "low", "high"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
-    """``id_col``, name, class_id, n_links, one row per document.
+    """``id_col``, name, class_id, one row per document.
 
     Documents of one class are joined by links of ``similarity`` or more; name identifies the
-    document's word sequence, and n_links counts the verified links found at it. ``weights``:
-    "set" (every shingle weighs 1) or "count" (its number of occurrences).
+    document's word sequence. ``weights``: "set" (every shingle weighs 1) or "count" (its number
+    of occurrences).
     """
     counted = {"set": False, "count": True}[weights]
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = written(_signed(read, kind, bands, rows, words, counted), "near-signed")
-    alike = signed.groupBy("name").agg(F.min("id").alias("first_id"), F.max("n_shingles").alias("n"), F.first("bands", ignorenulls=True).alias("bands"))
+    alike = signed.groupBy("name").agg(F.min("id").alias("first_id"), F.max("n_shingles").alias("n"), F.first("bands", ignorenulls=True).alias("bands"), F.first("sketch", ignorenulls=True).alias("sketch"))
     nodes = written(alike.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
     keyed = nodes.select("node", F.explode("bands").alias("key"))
@@ -225,24 +319,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = written(_texts(read).join(needed, "name").dropDuplicates(["node"]).select("node", "text"), "near-texts")
     first = written(_verified(starred, texts, similarity, words, counted), "near-first")
 
-    # what still lies apart: (group, component) pairs of groups that hold several components
-    sizes = nodes.select("node", "n")
+    # families whose components the first links leave apart; of two nodes the only pair is settled
     own = components(first, "near-first")
-    placed = member.join(own, "node", "left").join(sizes, "node").select("key", "node", F.coalesce("component", "node").alias("part"), "n")
-    mixed_keys = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    apart = written(placed.join(mixed_keys, "key"), "near-apart")
-    x, y = (apart.select("key", F.col("node").alias(n), F.col("part").alias(f"part_{n}"), F.col("n").alias(f"n_{n}")) for n in "ab")
-    near_size = F.lit(True) if counted else F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity
-    met = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & near_size)
-    rest = met.select("a", "b").distinct().join(starred, ["a", "b"], "left_anti")
-    links = written(first.unionByName(_verified(rest, texts, similarity, words, counted)), "near-links")
+    family = components(member.select(F.col("centre").alias("a"), F.col("node").alias("b")), "near-family").withColumnRenamed("component", "family")
+    placed = family.join(own, "node", "left").select("node", "family", F.coalesce("component", "node").alias("part"))
+    apart = placed.groupBy("family").agg(F.count("*").alias("m"), F.min("part").alias("first_part"), F.max("part").alias("last_part")).where("m > 2 AND first_part <> last_part")
+    n_blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+    dealt = placed.join(apart.select("family", n_blocks.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = written(dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "part"), "near-apart")
+    rows = dealt.join(nodes.select("node", "n", "bands", "sketch"), "node").join(texts, "node")
+    links = written(first.unionByName(_settled(rows, similarity, words, counted)), "near-links")
 
     parts = components(links, "near")
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    labelled = nodes.select("node", "name", "first_id").join(parts, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = nodes.select("node", "name", "first_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = labelled.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    named = labelled.join(classes, "component").select("name", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return signed.select("id", "name").join(named, "name").select(F.col("id").alias(id_col), "name", "class_id", "n_links")
+    named = labelled.join(classes, "component").select("name", "class_id")
+    return signed.select("id", "name").join(named, "name").select(F.col("id").alias(id_col), "name", "class_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:

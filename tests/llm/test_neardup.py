@@ -55,13 +55,19 @@ def corpus(seed):
             rows.append(("  " if rng.random() < 0.3 else " ").join(copy))
     base = rng.choices(vocabulary, k=200)
     rows += [" ".join(base[:i] + ["changed"] + base[i + 1 :]) for i in range(0, 200, 4)]
+    for n in range(60):  # copies of one text, near enough to its first ones only
+        copy = list(base)
+        for i in rng.sample(range(200), n // 6):
+            copy[i] = rng.choice(vocabulary)
+        rows.append(" ".join(copy))
     rows += [" ".join(rng.choices(vocabulary, k=40) + passage) for _ in range(20)]
     rows += ["a a a a a a a a a", "a a a a a", "", None, "one two", "ONE two", "x " * 3000]
     return [(i if i % 31 else None, t) for i, t in enumerate(rows)]
 
 
 @pytest.mark.parametrize("weights", ["set", "count"])
-def test_classes_against_brute_force(spark, weights):
+def test_classes_against_brute_force(spark, weights, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 12)
     rows = corpus(3)
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, name int")
     got = defaultdict(list)
