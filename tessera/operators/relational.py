@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import fresh_path
+
 
 def join_keep_order(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
     """USING join whose keys keep their places in the left frame (Spark puts them first)."""
@@ -28,12 +30,9 @@ def with_columns(df: DataFrame, *columns: Mapping[str, Column]) -> DataFrame:
 
 
 def materialize(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """Compute ``df`` now and cut its lineage: as Parquet under ``folder``, by default in the checkpoint folder."""
+    """Compute ``df`` now and cut its lineage: as Parquet under ``folder``, by default in the shared folder."""
     spark = df.sparkSession
-    folder = folder or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("name a folder, or set spark.checkpoint.dir")
-    path = f"{folder.rstrip('/')}/cache-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/cache-{uuid.uuid4().hex}" if folder else fresh_path(spark, "cache")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,18 +5,10 @@ from pyspark.sql import functions as F
 from tessera.operators.relational import materialize, with_columns
 from tessera.plans.registry import query
 from tessera.sources.infer import create_dataframe
+from tessera.sources.shared import fresh_path
 from tessera.sources.tables import load, read_csv, register, write_csv, write_parquet
 
 
-def _scratch(spark, name):
-    """A fresh folder in the session's shared folder."""
-    import tempfile
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("IO4", "IO18", "P1", oracle="SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity < 5")
 def scan_parquet(spark, sf_dir):
     return load(spark, sf_dir, "lineitem").where(F.col("l_quantity") < 5).select("l_orderkey", "l_quantity")
@@ -29,21 +21,21 @@ def scan_parquet_schema(spark, sf_dir):
 
 @query("IO2", "IO8", oracle="SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def csv_roundtrip(spark, sf_dir):
-    path = _scratch(spark, "csv")
+    path = fresh_path(spark, "csv")
     write_csv(load(spark, sf_dir, "nation"), path)
     return read_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int", header=True)
 
 
 @query("IO7", "IO10", oracle="SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def parquet_roundtrip(spark, sf_dir):
-    path = _scratch(spark, "parquet")
+    path = fresh_path(spark, "parquet")
     write_parquet(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), path, ("o_orderstatus",), "zstd")
     return spark.read.parquet(path).select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
 @query("IO9", "IO5", oracle="SELECT r_regionkey, r_name FROM region")
 def saved_table(spark, sf_dir):
-    path = _scratch(spark, "table")
+    path = fresh_path(spark, "table")
     name = path.rpartition("/")[2].replace("-", "_")
     load(spark, sf_dir, "region").write.option("path", path).saveAsTable(name)
     return spark.table(name)
@@ -63,7 +55,7 @@ def create_dataframe_infer(spark, sf_dir):
 @query("IO15", "S6", oracle="SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")
 def eager_cache(spark, sf_dir):
     grouped = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    return materialize(grouped, _scratch(spark, "cache"))
+    return materialize(grouped)
 
 
 @query("IO12", oracle="SELECT count(*) AS n FROM events WHERE value > 10")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tessera.plans.registry import query
 from tessera.session import PROFILE, profile
 from tessera.sources.infer import create_dataframe
+from tessera.sources.shared import fresh_path
 from tessera.sources.tables import load
 
 
@@ -71,10 +72,9 @@ def streamed_counts(spark, sf_dir):
     """Events read as a stream until all files are done, then summed over its windows."""
     import uuid
 
-    from tessera.plans.projection import _scratch
     from tessera.streaming.events import event_stream
 
-    name, folder = f"windows_{uuid.uuid4().hex}", _scratch(spark, "stream")
+    name, folder = f"windows_{uuid.uuid4().hex}", fresh_path(spark, "stream")
     load(spark, sf_dir, "events").write.parquet(f"{folder}/in")
     counts = event_stream(spark, f"{folder}/in").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
     stream = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
