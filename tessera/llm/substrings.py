@@ -23,7 +23,6 @@ a time or one anchor's unequal segments, whichever is more.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mixed, shared_folder, slices, written
+from tessera.llm.common import mixed, slices, written
+from tessera.sources.shared import fresh_path
 
 #: Bytes of a repeated string, of an anchor, of a piece of a long text, and of the segments a task orders at a time.
 LENGTH, GRAM, PIECE, GROUP_BYTES = 200, 64, 1 << 19, 1 << 20
@@ -113,8 +113,9 @@ def _stored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("data"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"texts_{uuid.uuid4().hex}"
-    rows.repartition(buckets, "row").write.bucketBy(buckets, "row").option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    path = fresh_path(spark, "texts")
+    name = path.rpartition("/")[2].replace("-", "_")
+    rows.repartition(buckets, "row").write.bucketBy(buckets, "row").option("path", path).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 
