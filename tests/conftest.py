@@ -14,6 +14,7 @@ def spark():
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.showConsoleProgress": "false",
             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tessera-ckpt-"),
+            "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="tessera-warehouse-"),
             "spark.driver.memory": "4g",
         },
     )
