@@ -140,13 +140,18 @@ def _logit(p: float) -> float:
 
 def fitted(texts: list[str | None], traits: np.ndarray, features: int = FEATURES, least: int = LEAST, steps: int = 200) -> Model:
     """A logistic model of each trait (columns of 0 and 1) on the features that tell most about either."""
-    sets = [text_features(t) for t in texts]
-    n = len(sets)
-    df = Counter(f for s in sets for f in s)
-    names = sorted(f for f, c in df.items() if c >= least)
-    at = {f: i for i, f in enumerate(names)}
-    row = np.array([i for i, s in enumerate(sets) for f in s if f in at], np.int64)
-    col = np.array([at[f] for s in sets for f in s if f in at], np.int64)
+    # features as numbers at once: sets of strings for all texts would fill the driver
+    number: dict[str, int] = {}
+    each = [np.fromiter((number.setdefault(f, len(number)) for f in text_features(t)), np.int64) for t in texts]
+    n = len(each)
+    row, col = np.repeat(np.arange(n), [len(x) for x in each]), np.concatenate([*each, np.empty(0, np.int64)])
+    often = np.bincount(col, minlength=len(number)) >= least
+    names = sorted(f for f, i in number.items() if often[i])
+    place = np.full(len(number), -1)
+    place[[number[f] for f in names]] = np.arange(len(names))
+    del number, each
+    keep = often[col] if len(col) else np.zeros(0, bool)
+    row, col = row[keep], place[col[keep]]
     weights, bias, prior = {}, [], []
     for t in range(traits.shape[1]):
         y = traits[:, t].astype(float)
