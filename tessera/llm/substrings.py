@@ -15,10 +15,12 @@ segment. Only anchors, hashes and places are shuffled at first; three cases foll
   collapses equal segments before they are shuffled at all;
 * unequal segments of one anchor: their bytes are fetched and their strings ordered, and the
   neighbours in that order decide. Strings without an equal by hash are left out of the sort.
+  The strings of an anchor with more than WIDE segments are dealt out by hash, and equal ones
+  decide by their order in the text.
 
 Matches never cross documents. Null texts count as empty, rows that repeat are copies of each
 other, and only the id and the text are read. A task holds at most GROUP_BYTES of segments at
-a time or one anchor's unequal segments, whichever is more.
+a time or WIDE segments of one anchor.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from tessera.sources.shared import fresh_path
 
 #: Bytes of a repeated string, of an anchor, of a piece of a long text, and of the segments a task orders at a time.
 LENGTH, GRAM, PIECE, GROUP_BYTES = 200, 64, 1 << 19, 1 << 20
+#: Segments of an anchor beyond which its strings are dealt out by hash instead.
+WIDE = 20_000
 #: Strings that are laid out as rows of bytes and sorted at a time (or those equal by hash).
 SORTED_AT_ONCE = 50_000
 
@@ -179,31 +183,77 @@ def _by_anchor(batches: Iterator[pa.RecordBatch], enough: int, weight: str | Non
 
 
 def _resolved(found: DataFrame, keep: str) -> DataFrame:
-    """Marks (copies 0) for what repeats as a whole, and segments whose strings must be ordered (copies 1, or 2 if marked too)."""
+    """Marks (copies 0) for what repeats as a whole, and segments whose strings must be ordered (copies 1, or 2 if marked too).
+
+    Rows stream through sorted by anchor and content. Of an anchor only the first row of the
+    content in hand is held, so an anchor of any number of rows takes no memory.
+    """
+    names = ["anchor", "content", "row", "start", "n", "copies"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _by_anchor((b for b in batches if b.num_rows), 100_000):
-            table = table.combine_chunks()
-            anchor, content, copies = (table[c].to_numpy() for c in ("anchor", "content", "copies"))
-            mark = copies == 0
-            real = np.flatnonzero(~mark)
-            a, c = anchor[real], content[real]
-            new_a = np.concatenate([[True], a[1:] != a[:-1]])[: len(a)]
-            new_c = new_a | np.concatenate([[True], c[1:] != c[:-1]])[: len(a)]
-            group, same = np.cumsum(new_a) - 1, np.cumsum(new_c) - 1
-            total = np.bincount(same, copies[real])[same] if len(real) else real
-            kinds = np.bincount(group, new_c)[group] if len(real) else real
-            gone = ~new_c if keep == "first" else total >= 2
-            ordered = new_c & (kinds >= 2)
-            out = [np.flatnonzero(mark), real[gone], real[ordered]]
-            flag = [np.zeros(len(out[0]), np.int32), np.zeros(len(out[1]), np.int32), np.where(total[ordered] >= 2, 2, 1).astype(np.int32)]
-            took = table.select(["anchor", "row", "start", "n"]).take(pa.array(np.concatenate(out)))
-            yield from took.append_column("copies", pa.array(np.concatenate(flag))).combine_chunks().to_batches()
+        held, later = None, False  # the first row of the last content, with its copies so far; whether its anchor had another before
+        for batch in batches:
+            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names], 1)
+            yield out(rows[rows[:, 5] == 0], 0)
+            rows = rows[rows[:, 5] > 0]
+            if not len(rows):
+                continue
+            if held is not None:
+                rows = np.concatenate([held[None], rows])
+            first = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)]))
+            total = np.add.reduceat(rows[:, 5], first)
+            same = rows[first[1:], 0] == rows[first[:-1], 0]
+            before = np.concatenate([[later], same])
+            others = np.ones(len(rows), bool)
+            others[first] = False
+            yield out(rows[others], 0)
+            yield from told(rows[first[:-1]], total[:-1], before[:-1] | same)
+            held, later = rows[first[-1]].copy(), bool(before[-1])
+            held[5] = total[-1]
+        if held is not None:
+            yield from told(held[None], held[5:], np.array([later]))
+
+    def told(rows: np.ndarray, total: np.ndarray, mixed_anchor: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if keep == "none":
+            yield out(rows[total >= 2], 0)
+        yield out(rows[mixed_anchor], np.where(total[mixed_anchor] >= 2, 2, 1))
+
+    def out(rows: np.ndarray, copies: np.ndarray | int) -> pa.RecordBatch:
+        columns = [pa.array(rows[:, i]) for i in (0, 2, 3, 4)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.broadcast_to(np.asarray(copies, np.int32), len(rows)).copy())], ["anchor", "row", "start", "n", "copies"])
 
     in_order = found.repartition("anchor").sortWithinPartitions("anchor", "content", "row", "start")
     return in_order.mapInArrow(run, "anchor long, row long, start long, n long, copies int")
 
 
+def _dealt(fetched: DataFrame, length: int, keep: str) -> DataFrame:
+    """What ``_ordered`` finds, for anchors with more segments than a task should order.
+
+    Their strings are grouped by 128 bits of hash (of the whole string and of its halves), with
+    partial sums before the shuffle, so that only equal strings meet.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "data", PIECE):
+                row, start, n, copies = (part.column(c).to_numpy() for c in ("row", "start", "n", "copies"))
+                data = np.frombuffer(b"".join(part.column("data").to_pylist()), np.uint8)
+                first = np.cumsum(n + length - 1) - (n + length - 1)
+                of = np.repeat(np.arange(len(n)), n)
+                step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(first, n) + step
+                half = length // 2
+                two = mixed(_hashed(data, at, half) * _BASE + _hashed(data, at + half, length - half))
+                columns = [_hashed(data, at, length).view(np.int64), two.view(np.int64), row[of], start[of] + step, copies[of]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["one", "two", "row", "start", "copies"])
+
+    strings = fetched.mapInArrow(run, "one long, two long, row long, start long, copies int")
+    groups = strings.groupBy("one", "two").agg(F.count("*").alias("m"), F.min(F.struct("row", "start")).alias("earliest")).where("m > 1")
+    met = strings.join(groups, ["one", "two"])
+    gone = F.col("copies") < 2 if keep == "none" else F.struct("row", "start") != F.col("earliest")
+    return met.where(gone).select("row", "start", F.lit(1).cast("long").alias("n"))
+
+
 def _ordered(fetched: DataFrame, length: int, keep: str) -> DataFrame:
     """row, start, n: runs of repeated strings of segments (anchor, row, start, n, copies, data)."""
 
@@ -278,8 +328,17 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     resolved = written(_resolved(_segmented(texts, length, gram or min(GRAM, length // 2)), keep), "repeat-segments")
     asked = resolved.where("copies > 0")
     here = (F.col("start") + 1).cast("int"), (F.col("n") + (length - 1)).cast("int")
-    fetched = asked.join(texts.select("row", "data"), "row").select("anchor", "row", "start", "n", "copies", F.substring("data", *here).alias("data"))
-    marks = resolved.where("copies = 0").select("row", "start", "n").unionByName(_ordered(fetched, length, keep))
+    wide = written(asked.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > WIDE).select("anchor"), "repeat-wide")
+
+    def fetched(rows: DataFrame) -> DataFrame:
+        return rows.join(texts.select("row", "data"), "row").select("anchor", "row", "start", "n", "copies", F.substring("data", *here).alias("data"))
+
+    marks = resolved.where("copies = 0").select("row", "start", "n")
+    if wide.isEmpty():
+        marks = marks.unionByName(_ordered(fetched(asked), length, keep))
+    else:
+        few, many = asked.join(wide, "anchor", "left_anti"), asked.join(wide, "anchor", "left_semi")
+        marks = marks.unionByName(_ordered(fetched(few), length, keep)).unionByName(_dealt(fetched(many), length, keep))
     by_row = marks.groupBy("row").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + (length - 1)).alias("end"))).alias("marks"))
     joined = texts.join(by_row, "row", "left").select("id", "data", "marks")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -38,8 +38,9 @@ def corpus(seed, unit=20):
     return texts
 
 
-@pytest.mark.parametrize("keep", ["first", "none"])
-def test_ranges_against_brute_force(spark, keep, monkeypatch):
+@pytest.mark.parametrize(("keep", "wide"), [("first", 20_000), ("none", 20_000), ("first", 2), ("none", 2)])
+def test_ranges_against_brute_force(spark, keep, wide, monkeypatch):
+    monkeypatch.setattr(ss, "WIDE", wide)
     monkeypatch.setattr(ss, "GROUP_BYTES", 2000)
     monkeypatch.setattr(ss, "PIECE", 1500)
     texts = corpus(3)
@@ -73,3 +74,23 @@ def test_repeats():
     rows = np.frombuffer(b"abcabdabcxyzabc\0b\0\0b\0", np.uint8).reshape(-1, 3)
     assert ss.repeats(rows, 3, "first").tolist() == [False, False, True, False, True, False, True]
     assert ss.repeats(rows, 3, "none").tolist() == [True, False, True, False, True, True, True]
+
+
+def test_rows_resolve_alike_in_any_batches(spark):
+    rng = random.Random(6)
+    rows = sorted((a, c, r, r, 5, k) for a, c, r, k in {(rng.randint(1, 9), rng.randint(1, 4), r, rng.choice([1, 1, 2])) for r in range(60)})
+    frame = spark.createDataFrame(rows, ss._SEGMENT)
+    for keep in ("first", "none"):
+        want = set()
+        for a in {r[0] for r in rows}:
+            own = [r for r in rows if r[0] == a]
+            for c in {r[1] for r in own}:
+                same = [r for r in own if r[1] == c]
+                total = sum(r[5] for r in same)
+                want |= {(a, r[2], 0) for r in (same[1:] if keep == "first" else same if total > 1 else [])}
+                if len({r[1] for r in own}) > 1:
+                    want.add((a, same[0][2], 2 if total > 1 else 1))
+        for size in ("1", "3", "1000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert {(r.anchor, r.row, r.copies) for r in ss._resolved(frame, keep).collect()} == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
