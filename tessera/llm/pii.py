@@ -1,7 +1,10 @@
 """Personal data replaced by keyed surrogates (operator 9), in DataFrame functions only.
 
 Entities are found by patterns: e-mail addresses, secrets (keys, tokens, passwords), phone,
-card, bank and social security numbers, IP addresses, and names after a title. A surrogate has
+card, bank and social security numbers, IP addresses, and names after a title: any number of
+words with hyphens, apostrophes, inner capitals, initials and particles. In a document with such
+a name its words are also replaced where they stand without a title, by the same surrogate;
+persons that a document never gives a title are not found. A surrogate has
 the entity's type and format: digits stay digits, letters keep case and script, separators,
 country codes, key prefixes, top-level domains and titles stay, and a name gets one of the
 title's gender and the name's script. It follows from a secret key and the entity's
@@ -32,6 +35,9 @@ ADDED = ("n_entities",)
 
 #: Titles by gender (fixed values).
 MALE, FEMALE, EITHER = "Mr|Herr|Monsieur|Señor", "Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Señora", "Dr|Prof"
+TITLES = f"{MALE}|{FEMALE}|{EITHER}"
+#: Small words inside of names (fixed values).
+PARTICLES = "von|van|der|den|de|del|della|du|di|da|dos|la|le|zu|ten|ter|bin|al|el"
 #: Given names by gender, and endings of names (fixed values).
 GIVEN = {
     "m": ("Adam", "Boris", "Carlo", "David", "Emil", "Frank", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Louis", "Martin", "Niels", "Oscar", "Paul"),
@@ -41,6 +47,9 @@ GIVEN = {
 #: Letters of the scripts beside Latin (fixed values).
 CYRILLIC, GREEK = "абвгдежзийклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 _SECRET = r"(?i:(?<![\p{L}\p{N}])(?:token|password|passwd|pwd|secret|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?)"
+_SMALL = rf"(?:(?:{PARTICLES}) )*+"
+_WORD = r"\p{Lu}(?:[\p{L}\p{M}]|(?!['’]s(?!\p{L}))['’-](?=\p{L}))++"
+_NAMED = rf"{_SMALL}(?:{_WORD}|\p{{Lu}}\.?(?= {_SMALL}\p{{Lu}}))"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
@@ -50,9 +59,10 @@ PATTERNS = {
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?!\d)",
-    "name": rf"\b(?:{MALE}|{FEMALE}|{EITHER})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
+    "name": rf"\b(?:(?:{TITLES})\.? )+{_NAMED}(?: {_NAMED})*+",
 }
-_TITLED = rf"\b(?:{MALE}|{FEMALE}|{EITHER})\.? \p{{Lu}}"
+_TITLED = rf"\b(?:{TITLES})\.? {_SMALL}\p{{Lu}}"
+_TITLE = rf"^((?:(?:{TITLES})\.? )+)"
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -67,6 +77,20 @@ def mentions(text: Column) -> Column:
     return F.when(may_hold(text), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.when(text.isNotNull(), F.array().cast("array<string>")))
 
 
+def name_words(found: Column) -> Column:
+    """The words of the titled names among the mentions of a text, also in capitals, longest first; no initials and particles."""
+    bodies = F.transform(F.filter(found, lambda m: m.rlike(_TITLE)), lambda m: F.split(F.regexp_replace(m, _TITLE, ""), " "))
+    words = F.filter(F.flatten(bodies), lambda w: w.rlike(rf"^{_WORD}$"))
+    sized = F.transform(F.array_union(words, F.transform(words, F.upper)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    return F.transform(F.sort_array(sized, asc=False), lambda x: x["w"])
+
+
+def pattern_with(words: Column) -> Column:
+    """The pattern of all entities and of runs of ``words``, which need no quoting."""
+    one = F.concat(F.lit("(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    return F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}])(?=\p{Lu})"), one, F.lit("(?: "), one, F.lit(")*+"))
+
+
 def kind_of(m: Column) -> Column:
     """The kind of a mention."""
     out = F.when(m.rlike(f"^(?:{PATTERNS['email']})$"), "email")
@@ -77,7 +101,7 @@ def kind_of(m: Column) -> Column:
 
 def _prefix(m: Column, kind: Column) -> Column:
     """What of a mention stays before the entity itself."""
-    title = F.regexp_extract(m, r"^(\p{L}+\.? )", 1)
+    title = F.regexp_extract(m, _TITLE, 1)
     key = F.regexp_extract(m, f"^({_SECRET}|AKIA)", 1)
     return F.when(kind == "secret", key).when(kind == "phone", F.regexp_extract(m, r"^(\+\d{1,3})", 1)).when(kind == "name", title).when(kind == "iban", m.substr(1, 2)).otherwise("")
 
@@ -125,19 +149,22 @@ def _one_of(values: tuple[str, ...], r: Column) -> Column:
 
 
 def _person(body: Column, title: Column, key: str, attempt: Column) -> Column:
-    """Given name by gender (if the name has two words) and family name by script."""
+    """Family name for the last word by script, given names by gender for those before it; particles stay."""
 
     def given(name: Column, stream: Column) -> Column:
-        gender = F.when(title.rlike(f"^(?:{MALE})\\b"), "m").when(title.rlike(f"^(?:{FEMALE})\\b"), "f").otherwise("n")
+        gender = F.when(title.rlike(f"\\b(?:{MALE})\\b"), "m").when(title.rlike(f"\\b(?:{FEMALE})\\b"), "f").otherwise("n")
         latin = _let(_byte(stream, F.lit(0)), lambda r: _let(gender, lambda g: F.when(g == "m", _one_of(GIVEN["m"], r)).when(g == "f", _one_of(GIVEN["f"], r)).otherwise(_one_of(GIVEN["n"], r))))
         return F.when(name.rlike(r"^\p{IsLatin}+$"), latin).otherwise(_like(name, stream))
 
     def family(name: Column) -> Column:
         return _let(_stream(key, F.lit("family"), F.lower(name), attempt), lambda s: _like(name, s))
 
+    def forename(name: Column) -> Column:
+        return _let(_stream(key, F.lit("given"), F.lower(name), attempt), lambda s: given(name, s))
+
     def whole(words: Column) -> Column:
-        first = _let(F.get(words, F.lit(0)), lambda n: _let(_stream(key, F.lit("given"), F.lower(n), attempt), lambda s: given(n, s)))
-        return F.when(F.size(words) > 1, F.concat_ws(" ", first, family(F.element_at(words, -1)))).otherwise(family(F.get(words, F.lit(0))))
+        each = F.transform(words, lambda w, i: F.when(w.rlike(rf"^(?:{PARTICLES})$"), w).when(i < F.size(words) - 1, forename(w)).otherwise(family(w)))
+        return F.array_join(each, " ")
 
     return _let(F.split(body, " "), whole)
 
@@ -184,7 +211,7 @@ def attempts(found: DataFrame, key: str, most: int = 50) -> DataFrame:
     now = known.withColumn("attempt", F.lit(0))
     for _ in range(most):
         drawn = now.withColumn("as", surrogate(F.col("mention"), key, F.col("attempt")))
-        given = written(drawn.withColumn("as", F.get(parsed(F.array("as")), F.lit(0))["entity"]), "pii-given")
+        given = written(drawn.withColumn("as", canonical(F.col("as"), F.col("kind"), _prefix(F.col("as"), F.col("kind")))), "pii-given")
         firsts = given.groupBy(F.col("kind").alias("k"), F.col("as").alias("v")).agg(F.min("entity").alias("holder"), F.count("*").alias("n")).where("n > 1")
         twice = given.join(firsts, (F.col("kind") == F.col("k")) & (F.col("as") == F.col("v"))).where(F.col("entity") != F.col("holder"))
         taken = known.select(F.col("kind").alias("k"), F.col("entity").alias("v"))
@@ -199,30 +226,52 @@ def attempts(found: DataFrame, key: str, most: int = 50) -> DataFrame:
     return now.where("attempt > 0").select("kind", "entity", "attempt")
 
 
-def _rebuilt(text: Column, found: Column, attempt_of: Column | None, key: str) -> Column:
+def _untitled(m: Column, titled: Column) -> Column:
+    """What the words of a name without title became in the titled names (words, new) of its text; a name of the same words comes first."""
+
+    def word(w: Column, names: Column) -> Column:
+        of = F.get(F.filter(names, lambda t: F.array_contains(t["words"], F.lower(w))), F.lit(0))
+        new = _let(of, lambda t: F.get(t["new"], F.array_position(t["words"], F.lower(w)).cast("int") - 1))
+        return F.when(w == F.upper(w), F.upper(new)).otherwise(new)
+
+    names = F.concat(F.filter(titled, lambda t: F.array_join(t["words"], " ") == F.lower(m)), titled)
+    return _let(names, lambda n: F.array_join(F.transform(F.split(m, " "), lambda w: word(w, n)), " "))
+
+
+def _rebuilt(text: Column, found: Column, words: Column, attempt_of: Column | None, key: str) -> Column:
     attempt = (lambda i: F.lit(0)) if attempt_of is None else (lambda i: F.coalesce(F.get(attempt_of, i), F.lit(0)))
-    new = F.transform(parsed(found), lambda x, i: replaced(x, key, attempt(i)))
+    drawn = F.transform(parsed(found), lambda x, i: F.struct(x.alias("x"), F.when((x["kind"] != "name") | (x["prefix"] != ""), replaced(x, key, attempt(i))).alias("new")))
+
+    def settled(each: Column) -> Column:
+        names = F.filter(each, lambda y: (y["x"]["kind"] == "name") & y["new"].isNotNull())
+        titled = F.transform(names, lambda y: F.struct(F.split(F.lower(y["x"]["body"]), " ").alias("words"), F.split(y["new"].substr(F.length(y["x"]["prefix"]) + 1, F.length(y["new"])), " ").alias("new")))
+        return _let(titled, lambda t: F.transform(each, lambda y: F.coalesce(y["new"], _untitled(y["x"]["m"], t))))
+
+    new = _let(drawn, settled)
     # the last piece has no mention after it
-    whole = F.concat_ws("", F.flatten(F.transform(F.arrays_zip(F.split(text, ENTITY, -1).alias("piece"), new.alias("new")), lambda z: F.array(z["piece"], z["new"]))))
+    pieces = F.when(F.size(words) > 0, F.split(text, pattern_with(words), -1)).otherwise(F.split(text, ENTITY, -1))
+    whole = F.concat_ws("", F.flatten(F.transform(F.arrays_zip(pieces.alias("piece"), new.alias("new")), lambda z: F.array(z["piece"], z["new"]))))
     return F.when(F.size(found) > 0, whole).otherwise(text)
 
 
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with all entities of the text replaced, and n_entities, the number of mentions."""
-    if taken := {*ADDED, "_found", "_row", "_attempts"} & set(docs.columns):
+    if taken := {*ADDED, "_plain", "_words", "_found", "_row", "_attempts"} & set(docs.columns):
         raise ValueError(f"the documents already have {sorted(taken)}")
     text = F.col(text_col).cast("string")
     raised = attempts(entities(docs, text_col), key)
     columns = [c for c in docs.columns if c != text_col]
-    found = docs.withColumn("_found", F.coalesce(mentions(text), F.array().cast("array<string>")))
+    plain = docs.withColumn("_plain", F.coalesce(mentions(text), F.array().cast("array<string>")))
+    words = plain.withColumn("_words", name_words(F.col("_plain")))
+    found = words.withColumn("_found", F.when(F.size("_words") > 0, F.regexp_extract_all(text, pattern_with(F.col("_words")), F.lit(0))).otherwise(F.col("_plain")))
     if raised.isEmpty():
-        new = _rebuilt(text, F.col("_found"), None, key)
+        new = _rebuilt(text, F.col("_found"), F.col("_words"), None, key)
     else:
         found = written(found.withColumn("_row", F.monotonically_increasing_id()), "pii-found")
         each = found.select("_row", F.posexplode(parsed(F.col("_found"))).alias("_i", "_x")).select("_row", "_i", "_x.kind", "_x.entity").join(raised, ["kind", "entity"])
         of_row = each.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_i", "attempt"))).alias("_attempts"))
         found = found.join(of_row, "_row", "left")
         found = found.withColumn("_attempts", F.transform("_found", lambda m, i: F.col("_attempts")[i]))
-        new = _rebuilt(text, F.col("_found"), F.col("_attempts"), key)
+        new = _rebuilt(text, F.col("_found"), F.col("_words"), F.col("_attempts"), key)
     out = {c: F.col(c) for c in columns} | {text_col: new}
     return found.select(*[out[c].alias(c) for c in docs.columns], F.size("_found").alias("n_entities"))

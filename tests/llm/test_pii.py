@@ -87,3 +87,18 @@ def test_edges(spark):
     assert pii.pseudonymised(docs, "k").collect() == []
     with pytest.raises(ValueError, match="n_entities"):
         pii.pseudonymised(docs.selectExpr("*", "1 AS n_entities"), "k")
+
+
+def test_whole_names_and_untitled_mentions(spark):
+    names = ["Dr Anna Maria Schmidt", "Mr McDonald", "Ms Smith-Jones", "Mr O'Brien", "Herr Dr. Ludwig van Beethoven", "Mr J. Smith"]
+    rows = [(i, f"so {n}, then {n}'s end") for i, n in enumerate(names)]
+    rows += [(10, "Mr John Smith came. John Smith said: SMITH and Smith-Jones, not Smithson or john. Ms Smith-Jones"), (11, "John Smith came"), (12, "Smith and then Mr Smith")]
+    got = {r.doc_id: r for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, n in enumerate(names):
+        title, new = re.match(r"(?:\w+\.? )(?:Dr\. )?", n)[0], re.fullmatch(r"so (.*), then (.*)'s end", got[i].text)
+        assert new[1] == new[2] and new[1].startswith(title) and len(new[1].split()) == len(n.split()) and got[i].n_entities == 2
+        assert not {w for w in n[len(title) :].split() if w != "van"} & set(new[1].split())
+    new = re.fullmatch(r"Mr (\w+) (\w+) came\. (\w+) (\w+) said: (\w+) and ([\w-]+), not Smithson or john\. Ms ([\w-]+)", got[10].text)
+    assert (new[1], new[2], new[6]) == (new[3], new[4], new[7]) and new[5] == new[2].upper() and new[2] != "Smith" and new[6] != "Smith-Jones"
+    assert got[10].n_entities == 5 and got[11].text == "John Smith came"
+    assert re.fullmatch(r"(\w+) and then Mr \1", got[12].text) and "Smith" not in got[12].text
