@@ -1,7 +1,8 @@
 """Personal data replaced by keyed surrogates (operator 9), in DataFrame functions only.
 
-Entities are found by patterns: e-mail addresses, secrets (keys, tokens, passwords), phone,
-card, bank and social security numbers, IP addresses, and names after a title: any number of
+Entities are found by patterns: e-mail addresses, secrets (keys, tokens, passwords, hexadecimal
+runs of 24 digits or more), phone numbers (with + or 00 and country code, or national with area
+code), card, bank and social security numbers, IPv4 and IPv6 addresses, and names after a title: any number of
 words with hyphens, apostrophes, inner capitals, initials and particles. In a document with such
 a name its words are also replaced where they stand without a title, by the same surrogate;
 persons that a document never gives a title are not found. A surrogate has
@@ -51,11 +52,30 @@ _SMALL = rf"(?:(?:{PARTICLES}) )*+"
 _WORD = r"\p{Lu}(?:[\p{L}\p{M}]|(?!['’]s(?!\p{L}))['’-](?=\p{L}))++"
 _NAMED = rf"{_SMALL}(?:{_WORD}|\p{{Lu}}\.?(?= {_SMALL}\p{{Lu}}))"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_IPV4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
+_HEXTET = "[0-9a-fA-F]{1,4}"
+#: At most 7 colons; mixed forms first, since the others match their beginning.
+_IPV6 = (
+    rf"(?<![\p{{L}}\p{{N}}])(?!(?:[0-9a-fA-F]*:){{8}})(?:(?:{_HEXTET}:){{6}}{_IPV4}|(?:{_HEXTET}(?::{_HEXTET}){{0,5}}|(?<!:))::(?:{_HEXTET}:){{0,5}}{_IPV4}"
+    rf"|(?:{_HEXTET}:){{7}}{_HEXTET}|{_HEXTET}(?::{_HEXTET}){{0,6}}::(?:{_HEXTET}(?::{_HEXTET}){{0,6}})?|(?<!:)::{_HEXTET}(?::{_HEXTET}){{0,6}})(?![\p{{L}}\p{{N}}]|:[\p{{L}}\p{{N}}:])"
+)
+#: Not dates, social security and card numbers.
+_OTHERS = r"(?!\d{1,2}[./-]\d{1,2}[./-](?:19|20)\d{2}(?!\d)|\d{3}-\d{2}-\d{4}(?![\d-])|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?!\d))"
+_PHONES = (
+    r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}",
+    r"00[1-9][0-9]{0,2}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}",
+    r"\([0-9]{2,5}\)[ ./-]?[0-9]{3,4}[ .-]?[0-9]{3,5}",
+    r"\(0[0-9]{1,4}\)(?:[ ./-]?[0-9]{2,4}){2,4}",
+    _OTHERS + r"(?=(?:[ ./-]?[0-9]){9,13}(?![0-9]))0[1-9][0-9]{0,4}(?:[ ./-][0-9]{2,8}){1,4}",
+    r"0[1-9][0-9]{8,10}",
+    r"(?:1[ .-])?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}",
+)
+_PHONE = rf"(?:{_PHONES[0]}|(?<![\p{{L}}\p{{N}}])(?<!\p{{N}}[.,/-])(?:{'|'.join(_PHONES[1:])}))(?![0-9])"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
-    "secret": _SECRET + r"[^\s\"'!,;]{6,}|\bAKIA[0-9A-Z]{16}\b|(?<![\p{L}\p{N}])(?=[a-fA-F]*\d)(?=\d*[a-fA-F])[0-9a-fA-F]{24,64}(?![\p{L}\p{N}])",
-    "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
-    "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])",
+    "secret": _SECRET + r"[^\s\"'!,;]{6,}|\bAKIA[0-9A-Z]{16}\b|(?<![\p{L}\p{N}])(?=[a-fA-F]*\d)(?=\d*[a-fA-F])[0-9a-fA-F]{24,}+(?![\p{L}\p{N}])",
+    "ip": rf"{_IPV6}|(?<![\d.]){_IPV4}(?!\d|\.\d)",
+    "phone": _PHONE,
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?!\d)",
@@ -67,9 +87,10 @@ ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
 def may_hold(text: Column) -> Column:
-    """Whether a text has what every entity needs: a digit, an @, a key prefix, a key word with its sign, or a title before a name."""
+    """Whether a text has what every entity needs: a digit, an @, a key prefix, a key word with its sign, colons as in an address, or a title before a name."""
     sign = (text.contains("=") | text.contains(":")) & text.rlike(_SECRET)
-    return text.contains("@") | text.rlike("[0-9]") | text.contains("AKIA") | sign | text.rlike(_TITLED)
+    colons = text.contains("::") | (text.contains(":") & text.rlike("(?:[a-fA-F]{1,4}:){6}"))
+    return text.contains("@") | colons | text.rlike("[0-9]") | text.contains("AKIA") | sign | text.rlike(_TITLED)
 
 
 def mentions(text: Column) -> Column:
@@ -103,7 +124,17 @@ def _prefix(m: Column, kind: Column) -> Column:
     """What of a mention stays before the entity itself."""
     title = F.regexp_extract(m, _TITLE, 1)
     key = F.regexp_extract(m, f"^({_SECRET}|AKIA)", 1)
-    return F.when(kind == "secret", key).when(kind == "phone", F.regexp_extract(m, r"^(\+\d{1,3})", 1)).when(kind == "name", title).when(kind == "iban", m.substr(1, 2)).otherwise("")
+    return F.when(kind == "secret", key).when(kind == "phone", F.regexp_extract(m, r"^(\+\d{1,3}|00[1-9]\d{0,2}|\(?0|(?:1[ .-])?\(?)", 1)).when(kind == "name", title).when(kind == "iban", m.substr(1, 2)).otherwise("")
+
+
+def _address(m: Column) -> Column:
+    """An IP address in its longest form, in lower case; mixed forms as written."""
+    groups = lambda c: F.filter(F.split(c, ":"), lambda g: g != "")
+    sides = F.split(F.lower(m), "::")
+    left, right = groups(F.get(sides, F.lit(0))), groups(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
+    zeros = F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right))
+    whole = F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.lpad(g, 4, "0")), ":")
+    return F.when(m.contains(":") & ~m.contains("."), whole).otherwise(F.lower(m))
 
 
 def canonical(m: Column, kind: Column, prefix: Column) -> Column:
@@ -111,7 +142,7 @@ def canonical(m: Column, kind: Column, prefix: Column) -> Column:
     body = m.substr(F.length(prefix) + 1, F.length(m))
     digits = F.regexp_replace(m, r"\D", "")
     compact = F.upper(F.regexp_replace(m, r"[^\p{L}\p{N}]", ""))
-    return F.when(kind == "email", F.lower(m)).when(kind == "secret", F.lower(body)).when(kind == "name", F.lower(body)).when(kind == "ip", m).when(kind == "iban", compact).otherwise(digits)
+    return F.when(kind == "email", F.lower(m)).when(kind == "secret", F.lower(body)).when(kind == "name", F.lower(body)).when(kind == "ip", _address(m)).when(kind == "iban", compact).when(kind == "phone", F.regexp_replace(digits, "^00", "")).otherwise(digits)
 
 
 def _stream(key: str, *parts: Column) -> Column:
@@ -136,11 +167,12 @@ def _like(m: Column, stream: Column) -> Column:
         small = F.when(hexadecimal, F.char(97 + r % 6)).when(c.rlike(r"\p{IsCyrillic}"), F.lit(CYRILLIC).substr(r % len(CYRILLIC) + 1, F.lit(1))).when(c.rlike(r"\p{IsGreek}"), F.lit(GREEK).substr(r % len(GREEK) + 1, F.lit(1))).otherwise(F.char(97 + r % 26))
         return F.when(c.rlike(r"\p{N}"), (r % 10).cast("string")).when(c.rlike(r"\p{Lu}"), F.upper(small)).otherwise(small)
 
-    def letter(i: Column, hexadecimal: Column) -> Column:
-        place = F.length(F.regexp_replace(m.substr(F.lit(1), i), r"[^\p{L}\p{N}]", "")) - 1
-        return _let(m.substr(i, F.lit(1)), lambda c: F.when(c.rlike(r"[\p{L}\p{N}]"), _let(_byte(stream, place), lambda r: drawn(c, r, hexadecimal))).otherwise(c))
+    def letter(c: Column, i: Column, hexadecimal: Column) -> Column:
+        # a hexadecimal run, which may be long, has nothing but letters and digits
+        place = F.when(hexadecimal, i).otherwise(F.length(F.regexp_replace(m.substr(F.lit(1), i + 1), r"[^\p{L}\p{N}]", "")) - 1)
+        return F.when(c.rlike(r"[\p{L}\p{N}]"), _let(_byte(stream, place), lambda r: drawn(c, r, hexadecimal))).otherwise(c)
 
-    each = _let(m.rlike("^[0-9a-fA-F]+$"), lambda h: F.concat_ws("", F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: letter(i, h))))
+    each = _let(m.rlike("^[0-9a-fA-F]+$"), lambda h: F.array_join(F.transform(F.split(m, ""), lambda c, i: letter(c, i, h)), ""))
     return F.when(F.length(m) > 0, each).otherwise("")
 
 
@@ -186,6 +218,7 @@ def replaced(x: Column, key: str, attempt: Column) -> Column:
         host = _let(domain, lambda d: _let(_stream(key, F.lit("domain"), F.lower(d)), lambda s: _like(d, s)))
         mail = F.concat(_let(F.regexp_extract(m, "^([^@]*)@", 1), lambda n: _like(n, stream)), F.lit("@"), host, top)
         address = F.concat_ws(".", *[(_byte(stream, F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
+        address = F.when(m.contains(":"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: stream.substr(i * 4 + 1, F.lit(4))), ":")).otherwise(address)
         card = F.concat(m.substr(1, 1), _let(m.substr(F.lit(2), F.length(m)), lambda n: _like(n, stream)))
         return F.when(kind == "email", mail).when(kind == "ip", address).when(kind == "card", card).otherwise(F.concat(x["prefix"], _like(body, stream)))
 

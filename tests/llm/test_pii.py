@@ -102,3 +102,31 @@ def test_whole_names_and_untitled_mentions(spark):
     assert (new[1], new[2], new[6]) == (new[3], new[4], new[7]) and new[5] == new[2].upper() and new[2] != "Smith" and new[6] != "Smith-Jones"
     assert got[10].n_entities == 5 and got[11].text == "John Smith came"
     assert re.fullmatch(r"(\w+) and then Mr \1", got[12].text) and "Smith" not in got[12].text
+
+
+MORE = {
+    "phone": ["(017) 555-7713", "555-123-4567", "1-800-555-1234", "(212) 555-1234", "030 1234567", "030/123 45 67", "01 23 45 67 89", "01711234567", "0049 30 1234567", "0049 (30) 123 4567", "+49 30 1234567"],
+    "secret": ["0123456789abcdef" * 5, "0123456789ABCDEF" * 300],
+    "ip": ["2001:db8::1", "2001:0DB8:0:0:0:0:0:1", "fe80::1ff:fe23:4567:890a", "::1", "::ffff:1.2.3.4", "2001:db8::", "1:2:3:4:5:6:7:8"],
+}
+NUMBERS = ["born 01.02.1999, 01-02-1999, 01/02/1999", "at 12:30:45 or 00:1a:2b:3c:4d:5e", "std::vector a :: b", "3.14159265 0.123456789", "0123456789" * 6 + "0123"]
+
+
+def test_more_forms(spark):
+    rows = [(k, m) for k, ms in MORE.items() for m in ms]
+    m = F.col("m")
+    inside = pii.mentions(F.concat(F.lit("so "), m, F.lit(", ok")))
+    got = spark.createDataFrame(rows, "kind string, m string").select("kind", "m", pii.kind_of(m).alias("got"), inside.alias("inside"), pii.surrogate(m, "k", F.lit(0)).alias("s")).collect()
+    for r in got:
+        assert (r.got, r.inside) == (r.kind, [r.m]) and r.s != r.m, r.m
+        if r.kind == "phone":
+            assert shape(r.s) == shape(r.m)
+        if r.kind == "secret":
+            assert re.fullmatch("[0-9a-fA-F]+", r.s) and len(r.s) == len(r.m)
+        if r.kind == "ip":
+            assert re.fullmatch("[0-9a-f]{4}(:[0-9a-f]{4}){7}", r.s)
+    s = {r.m: r.s for r in got}
+    assert s["2001:db8::1"] == s["2001:0DB8:0:0:0:0:0:1"] != s["2001:db8::"]
+    assert s["0049 30 1234567"].removeprefix("00") == s["+49 30 1234567"].removeprefix("+")
+    plain = spark.createDataFrame([(t,) for t in NUMBERS], "t string").select("t", pii.mentions(F.col("t")).alias("found")).collect()
+    assert {r.t: r.found for r in plain} == {t: [] for t in NUMBERS}
