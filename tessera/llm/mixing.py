@@ -9,9 +9,9 @@ The marginals wanted are the corpus's own shares raised to ``power`` and normali
 the mix, 0 makes it even), so rare sources, languages and topics gain; ``wanted`` sets shares
 by name instead. Weights are found for all cells at once: the row of a source holds the tokens
 of its (language, topic) pairs, its factor follows from the factors of the pairs, and a round is
-one aggregate that returns one number per pair to the driver. There are at most
-``len(languages) + 1`` times TOPICS pairs (languages beyond the LANGUAGES most frequent share
-one), whatever the size of the corpus; sources stay distributed.
+one aggregate that returns one number per pair to the driver. Every language label has a marginal
+of its own, so there are at most TOPICS + 1 pairs a label: the driver's memory grows with the
+number of labels, not with the corpus; sources stay distributed.
 
 A document's topic is the bucket its words favour: words hash into TOPICS buckets, and the
 bucket with the most distinct words beyond its share of the corpus wins, ties to the lower one.
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import hashed_strings, mixed, slices, written
 
-#: Topic buckets, languages with a marginal of their own, share of the tokens kept, and the power of the shares.
-TOPICS, LANGUAGES, KEPT, POWER = 8, 32, 0.8, 0.7
+#: Topic buckets, share of the tokens kept, and the power of the shares.
+TOPICS, KEPT, POWER = 8, 0.8, 0.7
 #: Largest relative distance from a marginal, and rounds at most.
 TOLERANCE, ROUNDS = 1e-6, 100
 
@@ -82,6 +82,11 @@ def _targets(held: np.ndarray, names: list, power: float, wanted: Mapping | None
     return share / share.sum() if share.sum() else share
 
 
+def _doubles(values: np.ndarray) -> Column:
+    """An array of numbers as one literal, however many there are."""
+    return F.split(F.lit(",".join(map(repr, values.tolist()))), ",").cast("array<double>")
+
+
 def calibrated(cells: DataFrame, kept: float = KEPT, power: float = POWER, wanted: Mapping[str, Mapping] | None = None) -> DataFrame:
     """source, lang, topic, weight, probability for every cell (source, lang, topic, tokens: one row each, no nulls).
 
@@ -89,18 +94,19 @@ def calibrated(cells: DataFrame, kept: float = KEPT, power: float = POWER, wante
     ``kept`` of the tokens are expected, cut at 1.
     """
     wanted = wanted or {}
-    top = cells.groupBy("lang", "topic").agg(F.sum("tokens").alias("tokens")).orderBy("lang", "topic").collect()  # at most LANGUAGES + 1 times TOPICS + 1 rows
+    top = cells.groupBy("lang", "topic").agg(F.sum("tokens").alias("tokens")).orderBy("lang", "topic").collect()  # at most TOPICS + 1 rows a language
     pairs = [(r.lang, r.topic) for r in top]
     tokens = np.array([r.tokens for r in top], float)
     total = tokens.sum()
     langs, topics = sorted({p[0] for p in pairs}), sorted({p[1] for p in pairs})
-    of_lang, of_topic = np.array([langs.index(a) for a, _ in pairs], int), np.array([topics.index(b) for _, b in pairs], int)
+    lang_at, topic_at = {a: i for i, a in enumerate(langs)}, {b: i for i, b in enumerate(topics)}
+    of_lang, of_topic = np.array([lang_at[a] for a, _ in pairs], int), np.array([topic_at[b] for _, b in pairs], int)
     by_lang = _targets(np.bincount(of_lang, tokens, len(langs)), langs, power, wanted.get("lang"))
     by_topic = _targets(np.bincount(of_topic, tokens, len(topics)), topics, power, wanted.get("topic"))
 
-    index = F.create_map(*[x for i, (a, b) in enumerate(pairs) for x in (F.lit(f"{b}/{a}"), F.lit(i))]) if pairs else F.create_map().cast("map<string,int>")
-    entry = F.struct(index[F.concat_ws("/", F.col("topic").cast("string"), "lang")].alias("i"), F.col("tokens").cast("double").alias("t"))
-    rows = cells.groupBy("source").agg(F.sort_array(F.collect_list(entry)).alias("held"), F.sum("tokens").alias("own"))
+    index = cells.sparkSession.createDataFrame([(*p, i) for i, p in enumerate(pairs)], "lang string, topic int, i int")
+    entry = F.struct("i", F.col("tokens").cast("double").alias("t"))
+    rows = cells.join(index, ["lang", "topic"]).groupBy("source").agg(F.sort_array(F.collect_list(entry)).alias("held"), F.sum("tokens").alias("own"))
     names = wanted.get("source")
     raw = F.coalesce(F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(float(v)))])[F.col("source")], F.lit(0.0)) if names else F.pow(F.col("own").cast("double"), F.lit(power))
     rows = written(rows.withColumn("share", F.when(F.col("own") > 0, raw).otherwise(0.0)), "mix-sources")
@@ -109,7 +115,7 @@ def calibrated(cells: DataFrame, kept: float = KEPT, power: float = POWER, wante
     pair = np.ones(len(pairs))
     factor = F.lit(1.0)
     for _ in range(ROUNDS if total else 0):
-        given = F.array(*[F.lit(float(x)) for x in pair])
+        given = _doubles(pair)
         within = F.aggregate("held", F.lit(0.0), lambda a, x: a + x["t"] * F.get(given, x["i"]))
         factor = F.when(within > 0, F.col("share") / F.lit(float(whole)) / within).otherwise(1.0 / total)
         spread = rows.select(F.inline(F.transform("held", lambda x: F.struct(x["i"].alias("i"), (x["t"] * factor).alias("t"))))).groupBy("i").agg(F.sum("t").alias("t")).collect()
@@ -128,12 +134,7 @@ def calibrated(cells: DataFrame, kept: float = KEPT, power: float = POWER, wante
                 margin = np.bincount(of, held, len(target))
                 scale = np.divide(target, margin, out=np.ones_like(target), where=margin > 0)
                 pair, held = pair * scale[of], held * scale[of]
-    given = F.array(*[F.lit(float(x)) for x in pair]) if pairs else F.array(F.lit(1.0))
-    lang_of = F.array(*[F.lit(a) for a, _ in pairs]) if pairs else F.array(F.lit(""))
-    topic_of = F.array(*[F.lit(b) for _, b in pairs]) if pairs else F.array(F.lit(0))
-    each = rows.select("source", factor.alias("f"), F.inline("held")).select(
-        "source", F.get(lang_of, F.col("i")).alias("lang"), F.get(topic_of, F.col("i")).alias("topic"), F.col("t").alias("tokens"), (F.col("f") * F.get(given, F.col("i"))).alias("share_each")
-    )
+    each = rows.select("source", factor.alias("f"), F.inline("held")).join(index, "i").select("source", "lang", "topic", F.col("t").alias("tokens"), (F.col("f") * F.get(_doubles(pair), F.col("i"))).alias("share_each"))
     cells = written(each.withColumn("weight", F.col("share_each") * F.lit(float(total or 1))).drop("share_each"), "mix-cells")
     scale = _scale(cells, kept, total)
     return cells.select("source", "lang", "topic", "weight", F.least(F.lit(1.0), F.col("weight") * F.lit(scale)).alias("probability"))
@@ -162,12 +163,10 @@ def mixed_sample(docs: DataFrame, kept: float = KEPT, power: float = POWER, want
     spark = docs.sparkSession
     named = F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("_lang")
     counted = written(profiled(docs.select("*", *named), text_col), "mix-counted")
-    common = [r._lang for r in counted.groupBy("_lang").agg(F.sum("n_tokens").alias("n")).orderBy(F.desc("n"), "_lang").limit(LANGUAGES).collect()]
     sums = counted.agg(*[F.sum(F.get("_profile", F.lit(i))).alias(f"p{i}") for i in range(TOPICS)]).first()
     words = [float(x or 0) for x in sums]
     shares = [w / max(1.0, sum(words)) for w in words]
-    lang = F.when(F.col("_lang").isin(common), F.col("_lang")).otherwise("other") if common else F.col("_lang")
-    told = counted.withColumns({"topic": F.coalesce(topic(F.col("_profile"), shares), F.lit(-1)), "_lang": lang}).drop("_profile")
+    told = counted.withColumn("topic", F.coalesce(topic(F.col("_profile"), shares), F.lit(-1))).drop("_profile")
     cells = told.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), "topic").agg(F.sum("n_tokens").alias("tokens"))
     fitted = calibrated(cells, kept, power, wanted).select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), "topic", "weight", "probability")
     # Spark broadcasts the cells where their files are small; else it splits the partitions of a hot cell

@@ -61,3 +61,12 @@ def test_edges(spark):
     assert {r.doc_id for r in mixing.mixed_sample(blank).collect()} == {1, 2}
     with pytest.raises(ValueError, match="topic"):
         mixing.mixed_sample(blank.selectExpr("*", "1 AS topic"))
+
+
+def test_every_language_has_its_marginal(spark):
+    langs = [f"l{i:02}" for i in range(40)] + ["other"]
+    rows = [(100 * i + j, f"word{j} " * (60 - i), a, "s") for i, a in enumerate(langs) for j in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mixed_sample(docs, 0.1, wanted={"lang": {"l39": 0.5, "other": 0.25, "l00": 0.25}}).collect()
+    assert {r.lang for r in got} == {"l39", "other", "l00"}
+    assert {r.lang for r in mixing.mixed_sample(docs, 0.9, 0.0).collect()} == set(langs)
