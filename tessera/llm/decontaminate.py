@@ -8,7 +8,8 @@ verified by banded alignment, which is exact.
 
 Texts are compared in lower case with every run of characters other than letters and digits
 as one space. Items shorter than WINDOW are windows as a whole, with edits in proportion;
-items of fewer than SHORTEST characters are too general and never reported.
+items of fewer than SHORTEST characters are found without edits and between word boundaries
+only. Items of fewer than Q characters have no q-gram and are never reported.
 
 Documents stream past an index of items: no shuffle, memory bounded by a slice and a block of
 items. Items come in blocks of at most BLOCK_CHARS characters and documents are scanned once
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import slices
 
-#: Characters of a window, edits allowed in it, characters of a q-gram, of the shortest item, and of a block of items.
+#: Characters of a window, edits allowed in it, characters of a q-gram, of the shortest item found with edits, and of a block of items.
 WINDOW, EDITS, Q, SHORTEST, BLOCK_CHARS = 50, 3, 10, 30, 16_000_000
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -75,7 +76,7 @@ class Items:
     """An index of benchmark items by their q-grams."""
 
     def __init__(self, texts: list[str], window: int = WINDOW, edits: int = EDITS, q: int = Q) -> None:
-        self.window, self.edits, self.q = window, edits, q
+        self.window, self.edits, self.q, self.texts = window, edits, q, texts
         self.codes, self.first = _codes(pa.array(texts, pa.string()))
         self.length = np.diff(self.first)
         self.windows = np.minimum(self.length, window)
@@ -107,10 +108,23 @@ class Items:
         text = np.repeat(text, n)
         return text, np.repeat(at, n) - first[text], self.item[index], self.at[index]
 
+    def _exact(self, texts: pa.Array, text: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Those of the candidates whose item stands in the text word for word, as ``found`` gives them."""
+        out = []
+        for pair in np.unique(text * len(self.texts) + item).tolist():
+            t, i = divmod(pair, len(self.texts))
+            at = f" {texts[t].as_py()} ".find(f" {self.texts[i]} ")
+            if at >= 0:
+                out.append((t, i, 0, at + len(self.texts[i])))
+        return tuple(np.array(out, np.int64).reshape(-1, 4).T)
+
     def found(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Text, item, fewest edits and place of a verified window, for each contaminated (text, item)."""
         codes, first = _codes(texts)
         text, place, item, at = self.hits(codes, first)
+        short = self.length[item] < SHORTEST
+        exact = self._exact(texts, text[short & (at == 0)], item[short & (at == 0)])
+        text, place, item, at = text[~short], place[~short], item[~short], at[~short]
         shift = int(self.length.max(initial=0))
         diagonal = place - at + shift
         band = diagonal // _BAND
@@ -146,7 +160,8 @@ class Items:
         order = np.lexsort((where, edits, pair))
         pair, edits, where = pair[order], edits[order], where[order]
         pair, at = np.unique(pair, return_index=True)
-        return pair // max(1, len(self.length)), pair % max(1, len(self.length)), edits[at], where[at]
+        near = pair // max(1, len(self.length)), pair % max(1, len(self.length)), edits[at], where[at]
+        return tuple(map(np.concatenate, zip(near, exact, strict=True)))
 
     def _aligned(self, codes: np.ndarray, first: np.ndarray, pair: np.ndarray, start: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Fewest edits between item windows and what begins in a band of the text, and where that ends."""
@@ -189,7 +204,7 @@ def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> list[Bro
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
         of: dict[str, list] = {}
         for row, text in zip(rows, normal(pa.array([r.text for r in rows], pa.string())).to_pylist(), strict=True):
-            if len(text) >= SHORTEST:
+            if len(text) >= Q:
                 of.setdefault(text, []).append(row.item)
         out.append(benchmark.sparkSession.sparkContext.broadcast((list(of), list(of.values()))))
     return out

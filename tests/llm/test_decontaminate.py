@@ -72,3 +72,12 @@ def test_blocks_and_empty_tables(spark, monkeypatch):
     monkeypatch.setattr(dc, "BLOCK_CHARS", 150)
     assert sorted(r.item_id for r in dc.contaminated(docs, items).collect()) == list(range(9))
     assert dc.contaminated(docs, items.limit(0)).collect() == dc.contaminated(docs.limit(0), items).collect() == []
+
+
+def test_short_items(spark):
+    items = spark.createDataFrame([(1, "What is a monad?"), (2, "水の沸点は摂氏何度であるか答えなさいと問う"), (3, "abcdefghij")], "item_id long, text string")
+    texts = ["what IS a monad", "so: what is a monad? A monoid", "what is a monads", "what is the monad", "問：水の沸点は摂氏何度であるか答えなさいと問う。百度", "xabcdefghij abcdefghij", "xabcdefghij"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.edits, r.ends_at) for r in dc.contaminated(docs, items).collect())
+    assert got == [(0, 1, 0, 15), (1, 1, 0, 18), (4, 2, 0, 23), (5, 3, 0, 22)]
+    assert sorted(r.doc_id for r in dc.decontaminated(docs, items).collect()) == [2, 3, 6]
