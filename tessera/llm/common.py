@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tessera.sources.shared import fresh_path
 
@@ -28,6 +30,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@dataclass
+class Packed:
+    """Rows with the columns an operator reads under its own names, and all others in the struct ``rest``, where their names can't clash."""
+
+    frame: DataFrame
+    columns: list[str]
+    named: dict[str, str]
+
+    def restored(self, df: DataFrame, added: Mapping[str, Column] | None = None) -> DataFrame:
+        """``df`` with the input's columns in their order, without those of the names in ``added``, and then ``added``."""
+        added = added or {}
+        own = [(F.col(self.named[c]) if c in self.named else F.col("rest")[c]).alias(c) for c in self.columns if c not in added]
+        return df.select(*own, *[column.alias(name) for name, column in added.items()])
+
+
+def packed(df: DataFrame, **read: str) -> Packed:
+    """``df`` packed; ``read`` maps an operator's name to the column that it reads."""
+    named = {column: name for name, column in read.items()}
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in named]
+    first = [F.col(f"`{column}`").alias(name) for name, column in read.items()]
+    return Packed(df.select(*first, F.struct(*rest, F.lit(0).alias("packed " + "_".join(df.columns))).alias("rest")), df.columns, named)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)
