@@ -7,15 +7,25 @@ component sizes times the block's maxima for its signs. Per range, a query takes
 falling bound, scores them through their forward indexes and stops when the next bound can't
 change its k best: below the kth score, or equal to it with no smaller id in the block.
 
-Every query starts from a threshold, its kth score in the range that holds its own vector, so
-elsewhere it scores and returns only what reaches that. Queries meet ranges in blocks of at
-most RANGE by RANGE vectors; that pairing and the size of its groups don't depend on the
-data. Pivots only order the vectors (PIVOTS of them, chosen by hash): every row is indexed
-and results are exact for any pivots.
+Ranges are pruned in the same way before anything is sent to them. A range's own term maxima are
+kept as one row. Every query starts from a threshold, its kth score in the range that holds its
+own vector, and bounds every range from the rows of maxima alone. It first goes to the PROBES
+ranges of the highest bounds; the k best scores from there raise its threshold, and only ranges
+whose bound still reaches that are visited then. What goes to a range are the queries that chose
+it, in blocks of queries from neighbouring ranges, and a range's vectors go only to blocks that
+chose it. A range returns only scores that reach the threshold. Rows of maxima are met in groups
+of GROUP, blocks of queries hold the queries of at most 32 ranges, and a range holds about RANGE
+vectors, however the table is partitioned.
+
+Pivots (PIVOTS vectors, chosen by hash) only order the vectors: a vector's cell is its two
+nearest pivots, small cells share a range and large ones are dealt to several, so a vector that
+most rows hold fills ranges of its own. Every row is indexed and results are exact for any pivots.
 
 Vectors that are null, or hold null or non-finite components, take no part; shorter vectors
 count as padded with zeros; rows with equal ids are separate candidates, and a query's own id
-never is one; ties go to smaller ids; null ids take no part. Other columns aren't read.
+never is one; query rows of one id are ranked together, as one query whose candidates score once
+for each of them; ties go to smaller ids; null ids take no part. An empty table gives an empty
+result. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -29,8 +39,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import written
 
-#: Vectors of a block and of a range (and of a block of queries), vectors that fix the order, and blocks scored between two looks at the bounds.
+#: Vectors of a block and of a range, vectors that fix the order, and blocks scored between two looks at the bounds.
 BLOCK, RANGE, PIVOTS, STEP = 128, 8192, 64, 4
+#: Ranges a query visits first, and rows of maxima that a task looks at together.
+PROBES, GROUP = 2, 1024
 
 _FLOAT_EXACT = 2**52
 
@@ -113,8 +125,22 @@ def _vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return both.where(F.col("id").isNotNull() & F.col("v").isNotNull())
 
 
-def _indexed(vectors: DataFrame, every: int, k: int) -> DataFrame:
-    """``vectors`` in ranges: range_no, id, v, and for queries their threshold (else null)."""
+def _dealt(counts: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(cell, first range, ranges) of each cell: small ones in order share a range of about RANGE vectors, large ones have several."""
+    out, no, held = [], 0, 0
+    for cell, n in sorted(counts.items()):
+        if held and held + n > RANGE:
+            no, held = no + 1, 0
+        parts = -(-n // RANGE)
+        out.append((cell, no, parts))
+        held += n
+        if parts > 1:
+            no, held = no + parts, 0
+    return out
+
+
+def _indexed(vectors: DataFrame, every: int, k: int) -> tuple[DataFrame, int]:
+    """``vectors`` in ranges, and their number: range_no, id, v, at_least (a query's threshold, else null); rows with ``least`` hold a range's term maxima."""
     spark = vectors.sparkSession
     pivots = [r.v for r in vectors.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()]
     width = max([0, *map(len, pivots)])
@@ -124,61 +150,71 @@ def _indexed(vectors: DataFrame, every: int, k: int) -> DataFrame:
         for batch in batches:
             own = max([width, *np.diff(batch.column("v").offsets.to_numpy())]) if batch.num_rows else width
             like = _matrix(batch.column("v"), own)[:, :width].astype(np.float64) @ centre.T
-            first = like.argmax(1) if width else np.zeros(batch.num_rows, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(first.astype(np.int32)), *batch.columns], ["near", "id", "v"])
-
-    coded = written(vectors.mapInArrow(near, "near int, id long, v array<long>"), "op1-coded")
-    n_ranges = max(1, -(-coded.count() // RANGE))
+            two = np.argsort(-like, 1, kind="stable")[:, :2] if len(centre) else np.zeros((batch.num_rows, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((two[:, 0] * PIVOTS + two[:, -1]).astype(np.int32)), *batch.columns], ["cell", "id", "v"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    coded = written(vectors.mapInArrow(near, "cell int, id long, v array<long>").withColumn("number", F.monotonically_increasing_id()), "op1-coded")
+    deal = _dealt({r.cell: r["count"] for r in coded.groupBy("cell").count().collect()})  # PIVOTS * PIVOTS rows at most
+    n_ranges = deal[-1][1] + deal[-1][2] if deal else 0
+    placed = coded.join(F.broadcast(spark.createDataFrame(deal, "cell int, no int, parts int")), "cell")
+    rows = placed.select((F.col("no") + F.pmod(F.xxhash64("number"), F.col("parts"))).cast("long").alias("range_no"), "id", "v")
 
-        no, held, n = 0, [], 0
-        for batch in batches:
-            while batch.num_rows:
-                part = batch.slice(0, RANGE - n)
-                batch = batch.slice(part.num_rows)
-                held.append(part)
-                n += part.num_rows
-                if n == RANGE:
-                    yield ranged(held, (TaskContext.get().partitionId() << 32) + no)
-                    no, held, n = no + 1, [], 0
-        if held:
-            yield ranged(held, (TaskContext.get().partitionId() << 32) + no)
-
-    def ranged(parts: list[pa.RecordBatch], no: int) -> pa.RecordBatch:
-        table = pa.Table.from_batches(parts).combine_chunks()
+    def ranged(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("id").combine_chunks()
         ids, v = table["id"].combine_chunks(), table["v"].combine_chunks()
-        own = int(np.diff(v.offsets.to_numpy()).max())
-        number, vectors = ids.to_numpy(), _matrix(v, own)
+        number, own = ids.to_numpy(), _matrix(v, int(np.diff(v.offsets.to_numpy()).max()))
         asked = np.flatnonzero(number % every == 0)
         at_least = np.full(len(asked), np.iinfo(np.int64).min)
-        who, _, score = Range(number, vectors).best(number[asked], vectors[asked], at_least, k)
+        who, _, score = Range(number, own).best(number[asked], own[asked], at_least, k)
         full = np.bincount(who, minlength=len(asked)) == k
         lowest = np.full(len(asked), np.iinfo(np.int64).max)
         np.minimum.at(lowest, who, score)
-        threshold = np.full(len(number), np.iinfo(np.int64).min)
-        threshold[asked[full]] = lowest[full]
-        mask = np.ones(len(number), bool)
-        mask[asked] = False
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(number), no)), ids, v, pa.array(threshold, mask=mask)], ["range_no", "id", "v", "at_least"])
-
-    in_order = coded.repartitionByRange(n_ranges, "near", "id").sortWithinPartitions("near", "id")
-    return written(in_order.mapInArrow(cut, "range_no long, id long, v array<long>, at_least long"), "op1-ranges")
-
-
-def top_k(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, ``id_col``, score: the k best of all other rows for each row whose id is divisible by ``every``."""
-    index = _indexed(_vectors(df, id_col, vector_col), every, k)
-    asked = index.where(F.col("at_least").isNotNull())
-    n_blocks = max(1, -(-asked.count() // RANGE))
-    block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
-    ranges = index.select(F.col("range_no").alias("to_range")).distinct()
-
-    # queries go to every range, each range to every block of queries; no row is paired here
-    met = ranges.select("to_range", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    sent = asked.withColumn("block", block).join(met, "block").select(F.col("to_range").alias("range_no"), "block", "id", "v", "at_least")
-    held = index.select(F.col("range_no").alias("in_range"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("for_block"), F.col("id").alias("held_id"), F.col("v").alias("held_v"))
+        threshold, mask = np.full(len(number), np.iinfo(np.int64).min), np.ones(len(number), bool)
+        threshold[asked[full]], mask[asked] = lowest[full], False
+        kind = pa.list_(pa.int64())
+        first = [pa.array([key[0].as_py()] * (len(number) + 1), pa.int64()), pa.concat_arrays([ids, pa.array([None], pa.int64())])]
+        values = [pa.concat_arrays([v.cast(kind), pa.array([own.max(0).tolist()], kind)]), pa.array([*[None] * len(number), own.min(0).tolist()], kind)]
+        return pa.table([*first, *values, pa.array(np.append(threshold, 0), mask=np.append(mask, True))], ["range_no", "id", "v", "least", "at_least"])
+
+    return written(rows.groupBy("range_no").applyInArrow(ranged, "range_no long, id long, v array<long>, least array<long>, at_least long"), "op1-ranges"), n_ranges
+
+
+def _chosen(asked: DataFrame, maxima: DataFrame, n_groups: int, first: int, last: int | None) -> DataFrame:
+    """range_no, block, id, v, at_least: the ranges that may hold what reaches a query's threshold, from place ``first`` to ``last`` by falling bound in each group of maxima."""
+    groups = F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))
+    left = asked.select("block", groups.alias("part"), "id", "v", "at_least")
+    blocks = asked.select("block").distinct()
+    right = maxima.join(blocks.withColumn("part", groups), "part")
+    right = right.select(F.col("block").alias("for_block"), F.col("part").alias("of_part"), "range_no", "most", "least")
+    kind = "block long, range_no long, id long, v array<long>, at_least long"
+
+    def bounded(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["block", "range_no", "id", "v", "at_least"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64())], names)
+        left, right = left.combine_chunks(), right.sort_by("range_no").combine_chunks()
+        q, most, least = (t[c].combine_chunks() for t, c in ((left, "v"), (right, "most"), (right, "least")))
+        width = int(max(np.diff(x.offsets.to_numpy()).max() for x in (q, most)))
+        most, least, at_least, no = _matrix(most, width), _matrix(least, width), left["at_least"].to_numpy(), right["range_no"].to_numpy()
+        out = []
+        for i in range(0, left.num_rows, 1024):  # rows of the matrix of bounds at a time
+            own = _matrix(q.slice(i, 1024), width)
+            bound = _product(np.maximum(own, 0), most) + _product(np.minimum(own, 0), least)
+            order = np.argsort(-bound, 1, kind="stable")[:, first:last]
+            row, place = np.nonzero(np.take_along_axis(bound, order, 1) >= at_least[i : i + 1024, None])
+            out.append(np.stack([row + i, no[order[row, place]]]))
+        row, range_no = np.concatenate(out, 1)
+        took = left.take(pa.array(row))
+        return pa.table([took["block"], pa.array(range_no), took["id"], took["v"], took["at_least"]], names)
+
+    return left.groupBy("block", "part").cogroup(right.groupBy("for_block", "of_part")).applyInArrow(bounded, kind)
+
+
+def _searched(chosen: DataFrame, index: DataFrame, k: int, name: str) -> DataFrame:
+    """query_id, id, score: the k best of each query in each range that it chose, of those that reach its threshold."""
+    sent = written(chosen, f"{name}-sent")
+    needed = sent.select("range_no", F.col("block").alias("for_block")).distinct()
+    held = index.where("least IS NULL").join(needed, "range_no").select(F.col("range_no").alias("in_range"), "for_block", F.col("id").alias("held_id"), F.col("v").alias("held_v"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "id", "score"]
@@ -191,7 +227,22 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", v
         return pa.table([pa.array(q_ids[who]), pa.array(found), pa.array(score)], names)
 
     pairs = sent.groupBy("range_no", "block").cogroup(held.groupBy("in_range", "for_block"))
-    found = pairs.applyInArrow(search, "query_id long, id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    best = found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", F.col("id").alias(id_col), "score")
+    return pairs.applyInArrow(search, "query_id long, id long, score long")
+
+
+def top_k(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, ``id_col``, score: the k best of all other rows for each row whose id is divisible by ``every``."""
+    index, n_ranges = _indexed(_vectors(df, id_col, vector_col), every, k)
+    n_groups = max(1, -(-n_ranges // GROUP))
+    maxima = index.where("least IS NOT NULL").select(F.pmod(F.xxhash64("range_no"), F.lit(n_groups)).cast("int").alias("part"), "range_no", F.col("v").alias("most"), "least")
+    queries = index.where("at_least IS NOT NULL")
+    per = min(32, max(1, RANGE * n_ranges // max(1, queries.count())))
+    asked = queries.select(F.floor(F.col("range_no") / per).alias("block"), "id", "v", "at_least")
+
+    best = lambda found: found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("int")).where(F.col("rank") <= k)
+    first = written(best(_searched(_chosen(asked, maxima, n_groups, 0, PROBES), index, k, "op1-first")), "op1-first")
+    kth = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    raised = asked.join(kth, "id", "left").select("block", "id", "v", F.greatest("at_least", "kth").alias("at_least"))
+    rest = _searched(_chosen(raised, maxima, n_groups, PROBES, None), index, k, "op1-rest")
+    found = best(first.select("query_id", "id", "score").unionByName(rest))
+    return found.select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -7,12 +7,13 @@ from tessera.llm import queries, topk
 
 
 def brute(rows, k=20, every=20):
+    """(query, rank, id, score) of each query; query rows of one id are ranked together."""
     use = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    out = set()
-    for q in {i: v for i, v in use if i % every == 0}.items() if len({i for i, _ in use}) == len(use) else []:
-        best = sorted((-sum(a * b for a, b in zip(q[1], v, strict=False)), i) for i, v in use if i != q[0])[:k]
-        out |= {(q[0], n + 1, i, -s) for n, (s, i) in enumerate(best)}
-    return out
+    out = []
+    for q in {i for i, _ in use if i % every == 0}:
+        best = sorted((-sum(a * b for a, b in zip(own, v, strict=False)), i) for j, own in use if j == q for i, v in use if i != q)[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out)
 
 
 def table(spark, path, rows):
@@ -28,15 +29,36 @@ def test_query_against_brute_force(spark, tmp_path, monkeypatch):
     rows += [(i, np.float32(centres[0]).tolist()) for i in range(2000, 2300)]
     rows += [(3000, None), (3020, []), (3040, [0.5]), (3001, [1.0, None]), (3002, [float("nan")] * 8), (3003, [float("inf")] * 8), (None, [1.0] * 8), (3060, [1e6] * 8), (3061, [-1e6] * 8)]
     table(spark, tmp_path, rows)
-    got = [tuple(r) for r in queries.op1_topk(spark, str(tmp_path)).collect()]
-    assert len(got) == len(set(got))
-    assert set(got) == brute(rows)
+    assert sorted(tuple(r) for r in queries.op1_topk(spark, str(tmp_path)).collect()) == brute(rows)
+
+
+def test_repeated_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(topk, "RANGE", 32)
+    monkeypatch.setattr(topk, "GROUP", 3)
+    rng = np.random.default_rng(4)
+    rows = [(i % 90, rng.integers(-3, 4, 5).astype(float).tolist()) for i in range(300)] + [(40, [1.0] * 5)] * 100 + [(41, [1.0] * 5)] * 100
+    table(spark, tmp_path, rows)
+    assert sorted(tuple(r) for r in queries.op1_topk(spark, str(tmp_path)).collect()) == brute(rows)
+
+
+def test_ranges_are_pruned_before_anything_is_sent(spark, monkeypatch):
+    monkeypatch.setattr(topk, "RANGE", 100)
+    sent = []
+    searched = topk._searched
+    monkeypatch.setattr(topk, "_searched", lambda chosen, *rest: sent.append(chosen.select("id", "range_no").toPandas()) or searched(chosen, *rest))
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16)) * 3
+    rows = [(i, (centres[i % 40] + rng.normal(size=16) / 5).tolist()) for i in range(4000)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 10).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, 10)
+    assert len(sent[0]) <= 2 * 200 and len(sent[1]) < 0.1 * 200 * 40
+    assert sorted(n for _, _, n in topk._dealt({0: 10, 1: 95, 3: 1000, 4: 5})) == [1, 1, 1, 10]
 
 
 @pytest.mark.parametrize("rows", [[], [(0, [1.0, 2.0])], [(0, [1.0, 2.0]), (20, [0.5, -1.0]), (21, [1.0, 0.0])]])
 def test_few_rows(spark, tmp_path, rows):
     table(spark, tmp_path, rows)
-    assert {tuple(r) for r in queries.op1_topk(spark, str(tmp_path)).collect()} == brute(rows)
+    assert sorted(tuple(r) for r in queries.op1_topk(spark, str(tmp_path)).collect()) == brute(rows)
 
 
 def test_pruning_skips_blocks(monkeypatch):
