@@ -1,9 +1,11 @@
 """Removal of long repeated byte strings by longest previous factors (operator 7).
 
-Every start of a LENGTH-byte string is a suffix; in suffix order (by its first LENGTH bytes,
-ties in text order) equal strings stand together, the previous one of smaller position is an
-earlier match and the next one a later match. With keep="first" a byte goes if a string over
-it has an earlier match, so the first copy stays; with keep="none" if it has any match.
+Every start of a LENGTH-byte string is a suffix, ordered by its first LENGTH bytes (ties in text
+order), with the length that neighbours in that order have in common. The longest previous factor
+at a place is the longer common length with the nearest suffixes before and after it in that order
+whose places are smaller (previous and next smaller positions); the longest next factor is the same
+with greater places. With keep="first" a byte goes if the previous factor of a string over it has
+LENGTH bytes, so the first copy stays; with keep="none" if the previous or the next one has.
 
 One suffix array of a whole corpus fits no machine, so the suffixes are dealt out such that all
 with a common prefix of LENGTH bytes meet: a string belongs to the GRAM bytes in it whose hash
@@ -13,13 +15,15 @@ segment. Only anchors, hashes and places are shuffled at first; three cases foll
 * an anchor that occurs once: nothing in its segment repeats;
 * equal segments: all their strings repeat; one of them stands for all from here on, and a task
   collapses equal segments before they are shuffled at all;
-* unequal segments of one anchor: their bytes are fetched and their strings ordered, and the
-  neighbours in that order decide. Strings without an equal by hash are left out of the sort.
+* unequal segments of one anchor: their bytes are fetched, their suffixes ordered, and the
+  factors decide. Strings without an equal by hash are left out of the sort.
   The strings of an anchor with more than WIDE segments are dealt out by hash, and equal ones
   decide by their order in the text.
 
 Matches never cross documents. Null texts count as empty, rows that repeat are copies of each
-other, and only the id and the text are read. A task holds at most GROUP_BYTES of segments at
+other, an empty table gives an empty result, and only the id and the text are read, so other names
+can't clash. Very long texts go in pieces of PIECE bytes. Texts are stored in buckets of about
+BUCKET_BYTES. A task holds at most GROUP_BYTES of segments at
 a time or WIDE segments of one anchor.
 """
 
@@ -37,6 +41,8 @@ from tessera.sources.shared import fresh_path
 
 #: Bytes of a repeated string, of an anchor, of a piece of a long text, and of the segments a task orders at a time.
 LENGTH, GRAM, PIECE, GROUP_BYTES = 200, 64, 1 << 19, 1 << 20
+#: Bytes of text in a bucket of the stored texts.
+BUCKET_BYTES = 256 << 20
 #: Segments of an anchor beyond which its strings are dealt out by hash instead.
 WIDE = 20_000
 #: Strings that are laid out as rows of bytes and sorted at a time (or those equal by hash).
@@ -101,24 +107,58 @@ def segments(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int,
     return text[new], start, count, grams[own[new]], hashes.of(start, start + count + length - 1) ^ mixed(count.astype(np.uint64))
 
 
-def repeats(strings: np.ndarray, length: int, keep: str) -> np.ndarray:
-    """Which of the strings (rows of bytes in text order) have an earlier match ("first") or any ("none")."""
+def suffix_order(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes, given in text order as rows of their first bytes (equal ones stay in text order), and the length of what each has in common with the one before it."""
+    length = strings.shape[1]
     order = np.argsort(np.ascontiguousarray(strings).view(f"S{length}").ravel(), kind="stable")
-    equal = (strings[order[1:]] == strings[order[:-1]]).all(1)
-    out = np.zeros(len(strings), bool)
-    out[order[1:]] = equal  # the previous smaller position in suffix order
-    if keep == "none":
-        out[order[:-1]] |= equal  # the next one
+    differ = strings[order[1:]] != strings[order[:-1]]
+    common = np.where(differ.any(1), differ.argmax(1), length)
+    return order, np.concatenate([[0], common])[: len(order)]
+
+
+def _nearest_smaller(value: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """What each suffix has in common with the nearest one before it in suffix order that has a smaller value (0 without one).
+
+    All suffixes jump at once: between a suffix and the one it points to all values are greater, so
+    it may go on to where that one points, and the least common length on the way is kept.
+    """
+    to, least = np.arange(len(value)) - 1, common.copy()
+    live = np.flatnonzero((to >= 0) & (value[to] > value))
+    while len(live):
+        by = to[live]
+        least[live] = np.minimum(least[live], least[by])
+        to[live] = to[by]
+        live = live[(to[live] >= 0) & (value[to[live]] > value[live])]
+    least[to < 0] = 0
+    return least
+
+
+def factors(order: np.ndarray, common: np.ndarray, before: bool = True) -> np.ndarray:
+    """The longest previous factor at each place of the text (the longest next one if not ``before``): the longer of what its suffix has in common with the previous and the next one in suffix order whose place is smaller (greater)."""
+    value = order if before else -order
+    previous = _nearest_smaller(value, common)
+    after = _nearest_smaller(value[::-1], np.concatenate([[0], common[:0:-1]])[: len(order)])[::-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(previous, after)
     return out
 
 
+def repeats(strings: np.ndarray, length: int, keep: str) -> np.ndarray:
+    """Which of the strings (rows of bytes in text order) have an earlier match ("first") or any ("none")."""
+    order, common = suffix_order(strings)
+    longest = factors(order, common)
+    return (longest if keep == "first" else np.maximum(longest, factors(order, common, before=False))) >= length
+
+
 def _stored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row, id, data of every document, written in buckets by row so that later joins don't shuffle the texts."""
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("data"))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_bytes = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BUCKET_BYTES))
     path = fresh_path(spark, "texts")
     name = path.rpartition("/")[2].replace("-", "_")
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", str(max(100_000, buckets)))
     rows.repartition(buckets, "row").write.bucketBy(buckets, "row").option("path", path).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
@@ -136,8 +176,8 @@ def _segmented(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
     def pieces(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         row = part.column("row").to_numpy()
-        data = part.column("data")
-        offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+        data = part.column("data").cast(pa.large_binary())
+        offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
         whole = np.frombuffer(data.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if data.buffers()[2] else np.empty(0, np.uint8)
         offsets = offsets - offsets[0]
         step = PIECE - length + 1
@@ -155,6 +195,12 @@ def _segmented(texts: DataFrame, length: int, gram: int) -> DataFrame:
         row = row[text]
         copies = copies[of.ravel()] if len(text) else text
         copies = np.where(np.isin(np.arange(len(text)), head), copies, 0)
+        # marks of segments that follow each other become one
+        mark = copies == 0
+        after = np.concatenate([[False], mark[1:] & mark[:-1] & (row[1:] == row[:-1]) & (start[1:] == start[:-1] + n[:-1])]) if len(row) else mark
+        head = np.flatnonzero(~after)
+        n = np.add.reduceat(n, head) if len(head) else n
+        row, start, anchor, content, copies = (x[head] for x in (row, start, anchor, content, copies))
         anchor = np.where(copies > 0, anchor, mixed(row.astype(np.uint64) + start.astype(np.uint64)))
         columns = [anchor.view(np.int64), content.view(np.int64), row, start, n, copies.astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "content", "row", "start", "n", "copies"])

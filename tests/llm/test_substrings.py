@@ -76,6 +76,37 @@ def test_repeats():
     assert ss.repeats(rows, 3, "none").tolist() == [True, False, True, False, True, True, True]
 
 
+def fibonacci(n):
+    a, b = b"b", b"a"
+    while len(b) < n:
+        a, b = b, b + a
+    return b[:n]
+
+
+@pytest.mark.parametrize("text", [fibonacci(200), b"ab" * 90, b"a" * 120, b"abc" * 20 + b"abd" * 20, *(bytes(random.Random(i).choices(b"ab" if i % 2 else b"abcdefgh", k=150)) for i in range(6)), b"", b"a"])
+@pytest.mark.parametrize("length", [4, 200])
+def test_factors_against_brute_force(text, length):
+    rows = np.frombuffer(b"".join((text[i:] + bytes(length))[:length] for i in range(len(text))), np.uint8).reshape(-1, length)
+    order, common = ss.suffix_order(rows)
+
+    def shared(i, j):
+        n = 0
+        while max(i, j) + n < len(text) and text[i + n] == text[j + n] and n < length:
+            n += 1
+        return n
+
+    assert ss.factors(order, common).tolist() == [max((shared(i, j) for j in range(i)), default=0) for i in range(len(text))]
+    assert ss.factors(order, common, before=False).tolist() == [max((shared(i, j) for j in range(i + 1, len(text))), default=0) for i in range(len(text))]
+
+
+def test_a_repeated_byte_makes_few_marks(spark):
+    docs = spark.createDataFrame([(1, "z" * 2_000_000), (2, "y" * 5000 + "x")], "doc_id long, text string")
+    texts = ss._stored(docs, "doc_id", "text")
+    assert ss._segmented(texts, 200, 64).count() < 60
+    got = {r.doc_id: r for r in ss.without_repeats(docs, keep="none").collect()}
+    assert [tuple(s) for s in got[1].spans] == [(0, 2_000_000)] and bytes(got[2].kept) == b"x"
+
+
 def test_rows_resolve_alike_in_any_batches(spark):
     rng = random.Random(6)
     rows = sorted((a, c, r, r, 5, k) for a, c, r, k in {(rng.randint(1, 9), rng.randint(1, 4), r, rng.choice([1, 1, 2])) for r in range(60)})
