@@ -7,45 +7,53 @@ each dart hits one of k coordinates and the earliest on each is the signature (a
 with an empty coordinate takes darts further). Two signatures agree on a coordinate with the
 probability of their weighted Jaccard similarity.
 
-Signatures are cut into bands; documents that agree on a whole band are candidates, and each
-candidate pair is verified exactly on its shingles. With 30 bands of 5 coordinates a pair at
-0.8 is missed with a probability below 1e-5. Words are what white space separates, in lower
-case; a text of fewer than five words is one shingle.
+Signatures are cut into bands; documents that agree on a whole band are in one group and
+candidates, and each candidate pair is verified exactly on its shingles. With 30 bands of 5
+coordinates a pair at 0.8 is missed with a probability below 1e-5. Words are what white space
+separates, in lower case; a text of fewer than five words is one shingle.
 
 No pairs of a group are emitted:
 
 * equal word sequences are one node from the start, and so are all texts without words;
 * every node is first held against the smallest node of one of its groups, and links that
   verify join components;
-* families (nodes that groups connect) which still hold several components are settled in
-  blocks: a family's nodes are dealt to blocks of about BLOCK, and a task holds the nodes of
-  two blocks. It skips pairs that share no band, lie in one component, or whose sizes or
-  signatures rule out the similarity, verifies the others from the likeliest on, and emits a
-  link only where that joins two components. Each pair of a family is so met once, in
-  tasks of bounded size, however large the family is.
+* a group whose nodes lie in several components is settled in blocks: each pair to settle has a
+  node outside of the group's largest component, so those nodes (few, as a rule) are dealt to
+  blocks and meet all nodes of the group, dealt to blocks of about BLOCK nodes or SHINGLES
+  shingles. A task that meets two blocks first looks at sizes and signatures alone: it skips
+  pairs that lie in one component, were verified, or share an earlier band (they meet in that
+  group), and those whose sizes or signatures rule out the similarity. Only nodes that are left in
+  some pair get their texts; the task then verifies from the likeliest pair on, and emits a link
+  only where that joins two components.
+
+So the work on a group is the size of its largest component times the number of nodes outside of
+it; groups don't add up to families that grow with the corpus.
 
 A document's class is the smallest id in its component (null ids stand only where a class
-has no other). Repeated rows are copies; null texts count as empty; other columns aren't read.
+has no other). Very long texts are read in slices, and one that exceeds a block is a block of its
+own. Repeated rows are copies; null texts count as empty; an empty table gives an empty result;
+other columns aren't read (``deduplicated`` carries them along under any names).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import hashed_strings, mixed, slices, written
+from tessera.llm.common import hashed_strings, mixed, packed, slices, written
 from tessera.llm.components import components
 
 #: Words of a shingle, similarity of a link, bands, coordinates of a band.
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 30, 5
 
-#: Nodes of a block, pairs verified at a time, and standard deviations below the similarity at which a signature rules a pair out.
-BLOCK, AT_ONCE, SURE = 512, 2000, 5.5
+#: Nodes and shingles of a block, pairs verified at a time, and standard deviations below the similarity at which a signature rules a pair out.
+BLOCK, SHINGLES, AT_ONCE, SURE = 128, 200_000, 2000, 5.5
 
 #: Bits of a shingle's hash; the rest of a 64-bit key holds the row in its slice.
 _BITS = 44
@@ -150,8 +158,8 @@ def _names(texts: pa.Array) -> list[bytes]:
     return [xxhash.xxh3_128_digest(x) for x in joined.cast(pa.binary()).to_pylist()]
 
 
-def _signed(docs: DataFrame, id_kind: str, bands: int, rows: int, words: int, counted: bool) -> DataFrame:
-    """id, name, n_shingles, bands, sketch (a byte per coordinate) of each row; all but id and name only where a task meets a word sequence first."""
+def _signed(docs: DataFrame, bands: int, rows: int, words: int, counted: bool) -> DataFrame:
+    """id, name, n_shingles (their weights), bands, sketch (a byte per coordinate) of each row; all but id and name only where a task meets a word sequence first."""
     kinds = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +170,8 @@ def _signed(docs: DataFrame, id_kind: str, bands: int, rows: int, words: int, co
                 names = _names(texts)
                 fresh = [i for i, x in enumerate(names) if not (x in met or met.add(x))]
                 row, element, count = shingles(texts.take(pa.array(fresh, pa.int64())), words)
-                size = np.bincount(row, minlength=len(fresh))
                 weight = count.astype(np.float64) if counted else np.ones(len(row))
+                size = np.bincount(row, weight, len(fresh)).astype(np.int64)
                 signature = signatures(row, element, weight, len(fresh), bands * rows)
                 keys, sketch = band_keys(signature, bands, rows), (signature >> np.uint64(56)).astype(np.uint8)
                 wide: list = [None] * len(names)
@@ -174,7 +182,8 @@ def _signed(docs: DataFrame, id_kind: str, bands: int, rows: int, words: int, co
                 columns = [part.column("id"), pa.array(names, pa.binary()), pa.array(n, pa.int64()), pa.array(wide, kinds), pa.array(short, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "name", "n_shingles", "bands", "sketch"])
 
-    return docs.mapInArrow(run, f"id {id_kind}, name binary, n_shingles long, bands array<long>, sketch binary")
+    fields = [T.StructField("name", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
+    return docs.mapInArrow(run, T.StructType([docs.schema["id"], *fields]))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -224,53 +233,55 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int,
     return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _joining(block: pa.Table, similarity: float, words: int, counted: bool) -> list[tuple[int, int]]:
-    """Links of ``similarity`` among the nodes of two blocks of a family (of one if they are equal) that join components."""
-    i_block, j_block = block["low"][0].as_py(), block["high"][0].as_py()
-    own = block["block"].to_numpy()
-    left = np.flatnonzero(own == i_block)
-    right = np.flatnonzero(own == j_block)
-    part = np.unique(block["part"].to_numpy(), return_inverse=True)[1]
-    size = block["n"].to_numpy()
-    keys = block["bands"].combine_chunks().flatten().to_numpy().reshape(len(own), -1)
-    sketch = np.frombuffer(b"".join(block["sketch"].to_pylist()), np.uint8).reshape(len(own), -1)
+def _pairs(block: pa.Table, similarity: float) -> np.ndarray:
+    """The pairs to settle of two blocks of a group: (one of the few, any other, how alike the signatures are) as rows of ``block``."""
+    few, every = np.flatnonzero(block["few"].to_numpy()), np.flatnonzero(~block["few"].to_numpy())
+    part, size, node, star, apart = (block[c].to_numpy() for c in ("part", "n", "node", "star", "apart"))
+    keys = block["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    sketch = np.frombuffer(b"".join(block["sketch"].to_pylist()), np.uint8).reshape(len(node), -1)
     spread = SURE * np.sqrt(similarity * (1 - similarity) / sketch.shape[1])
-    found = []
-    for at in range(0, len(left), 32):  # 32 rows of the matrix of pairs at a time
-        rows = left[at : at + 32]
-        hit = part[rows][:, None] != part[right][None, :]
-        if i_block == j_block:
-            hit &= rows[:, None] < right[None, :]
-        if not counted:
-            hit &= np.minimum(size[rows][:, None], size[right]) >= similarity * np.maximum(size[rows][:, None], size[right])
+    band = int((keys[0] == block["key"][0].as_py()).argmax())
+    found = [np.empty((0, 3), np.int64)]
+    for at in range(0, len(few), 32):  # 32 rows of the matrix of pairs at a time
+        rows = few[at : at + 32]
+        hit = (part[rows][:, None] != part[every]) & (star[rows][:, None] != node[every]) & (node[rows][:, None] != star[every])
+        hit &= ~apart[every] | (node[rows][:, None] < node[every])  # two of the few meet twice
+        hit &= np.minimum(size[rows][:, None], size[every]) >= (similarity - 1e-9) * np.maximum(size[rows][:, None], size[every])
         x, y = np.nonzero(hit)
-        x, y = rows[x], right[y]
-        keep = (keys[x] == keys[y]).any(1)
+        x, y = rows[x], every[y]
+        keep = (keys[x] == keys[y]).argmax(1) == band
         x, y = x[keep], y[keep]
         like = (sketch[x] == sketch[y]).mean(1)
         keep = like >= similarity - spread
         found.append(np.stack([x[keep], y[keep], (like[keep] * 1e6).astype(np.int64)], 1))
-    pairs = np.concatenate(found) if found else np.empty((0, 3), np.int64)
-    if not len(pairs):
-        return []
+    return np.concatenate(found)
+
+
+def _joining(block: pa.Table, similarity: float, words: int, counted: bool) -> pa.Table:
+    """a, b: links of ``similarity`` between two blocks of a group that join components."""
+    pairs = _pairs(block, similarity)
+    part, node = np.unique(block["part"].to_numpy(), return_inverse=True)[1], block["node"].to_numpy()
     row, element, count = shingles(block["text"].combine_chunks(), words)
     count = count if counted else np.ones_like(count)
     pairs = pairs[np.argsort(-pairs[:, 2], kind="stable")]
-    links = []
+    links = np.empty((0, 2), np.int64)
     while len(pairs):
         now, pairs = pairs[:AT_ONCE], pairs[AT_ONCE:]
-        good = now[similarities(row, element, count, len(own), now[:, 0], now[:, 1]) >= similarity - 1e-9]
+        good = now[similarities(row, element, count, len(node), now[:, 0], now[:, 1]) >= similarity - 1e-9]
         for a, b, _ in good.tolist():
             if part[a] != part[b]:
                 part[part == part[b]] = part[a]
-                links.append((a, b))
+                links = np.append(links, [[a, b]], 0)
         pairs = pairs[part[pairs[:, 0]] != part[pairs[:, 1]]]
-    node = block["node"].to_numpy()
-    return [(int(min(node[a], node[b])), int(max(node[a], node[b]))) for a, b in links]
+    ends = np.sort(node[links], 1) if len(links) else links
+    return pa.table([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+
+_MET = ("key", "low", "high")
 
 
-def _settled(rows: DataFrame, similarity: float, words: int, counted: bool) -> DataFrame:
-    """a, b: joining links of the families in ``rows`` (family, low, high, block, node, part, n, bands, sketch, text)."""
+def _by_group(work: Callable[[pa.Table], pa.Table | None]) -> Callable:
+    """A function for mapInArrow that applies ``work`` to the rows of each (key, low, high), which come sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -278,84 +289,99 @@ def _settled(rows: DataFrame, similarity: float, words: int, counted: bool) -> D
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.stack([batch.column(c).to_numpy() for c in ("family", "low", "high")], 1)
+            key = np.stack([batch.column(c).to_numpy() for c in _MET], 1)
             limits = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), batch.num_rows]
             for i, j in zip(limits, limits[1:], strict=False):
                 if held and tuple(key[i]) != at:
-                    yield from done(held)
+                    yield from work(pa.Table.from_batches(held)).to_batches()
                     held = []
                 held.append(batch.slice(i, j - i))
                 at = tuple(key[i])
         if held:
-            yield from done(held)
+            yield from work(pa.Table.from_batches(held)).to_batches()
+
+    return run
+
+
+def _settled(rows: DataFrame, texts: DataFrame, similarity: float, words: int, counted: bool) -> DataFrame:
+    """a, b: joining links of the groups in ``rows`` (key, low, high, few, apart, node, part, star, n, bands, sketch)."""
 
-    def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if links := _joining(pa.Table.from_batches(held), similarity, words, counted):
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links]), pa.array([b for _, b in links])], ["a", "b"])
+    def likely(block: pa.Table) -> pa.Table:
+        return block.take(pa.array(np.unique(_pairs(block, similarity)[:, :2])))
 
-    keys = ["family", "low", "high"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "a long, b long")
+    def in_order(frame: DataFrame) -> DataFrame:
+        return frame.repartition(*_MET).sortWithinPartitions(*_MET, "node", "few")
 
+    left = written(in_order(rows).mapInArrow(_by_group(likely), rows.schema), "near-likely")
+    named = left.join(texts, "node").select(*rows.columns, "text")
+    return in_order(named).mapInArrow(_by_group(lambda block: _joining(block, similarity, words, counted)), "a long, b long")
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
-    """``id_col``, name, class_id, one row per document.
 
-    Documents of one class are joined by links of ``similarity`` or more; name identifies the
-    document's word sequence. ``weights``: "set" (every shingle weighs 1) or "count" (its number
-    of occurrences).
+def _unsettled(member: DataFrame, starred: DataFrame, first: DataFrame, nodes: DataFrame) -> DataFrame:
+    """What ``_settled`` reads, of all groups (key, node, n) whose nodes the links ``first`` leave in several components."""
+    own = components(first, "near-first")
+    placed = written(member.select("key", "node", "n").join(own, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part")), "near-placed")
+    sizes = placed.groupBy("key", "part").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    groups = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.sum("w").alias("w"), F.max(F.struct("m", "part", "w")).alias("top")).where("parts > 1")
+    blocks = lambda m, w: F.greatest(F.ceil(m / F.lit(BLOCK)), F.ceil(w / F.lit(SHINGLES)), F.lit(1)).cast("int")
+    told = groups.select("key", F.col("top.part").alias("most"), blocks(F.col("m") - F.col("top.m"), F.col("w") - F.col("top.w")).alias("lows"), blocks(F.col("m"), F.col("w")).alias("highs"))
+    dealt = placed.join(told, "key").withColumn("apart", F.col("part") != F.col("most"))
+    of = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    every = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("lows") - 1)).alias("low"), of("highs", 0).alias("high"), F.lit(False).alias("few"))
+    few = dealt.where("apart").select("*", of("lows", 1).alias("low"), F.explode(F.sequence(F.lit(0), F.col("highs") - 1)).alias("high"), F.lit(True).alias("few"))
+    met = written(every.unionByName(few).select(*_MET, "few", "apart", "node", "part", "n"), "near-unsettled")
+    stars = starred.select(F.col("b").alias("node"), F.col("a").alias("star"))
+    signed = met.join(nodes.select("node", "bands", "sketch"), "node").join(stars, "node", "left")
+    return signed.select(*_MET, "few", "apart", "node", "part", F.coalesce("star", "node").alias("star"), "n", "bands", "sketch")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, weights: str = "count") -> DataFrame:
+    """``id_col``, name, class_id, component, one row per document.
+
+    Documents of one component are joined by links of ``similarity`` or more; class_id is its
+    smallest id, and name identifies the document's word sequence. ``weights``: "count" (a shingle
+    weighs its number of occurrences) or "set" (every one weighs 1).
     """
     counted = {"set": False, "count": True}[weights]
-    kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(_signed(read, kind, bands, rows, words, counted), "near-signed")
+    signed = written(_signed(read, bands, rows, words, counted), "near-signed")
     alike = signed.groupBy("name").agg(F.min("id").alias("first_id"), F.max("n_shingles").alias("n"), F.first("bands", ignorenulls=True).alias("bands"), F.first("sketch", ignorenulls=True).alias("sketch"))
     nodes = written(alike.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
     groups = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("m")).where("m > 1").select("key", "centre")
     member = written(keyed.join(groups, "key"), "near-members")
-    starred = member.where("node <> centre").groupBy(F.col("node").alias("b")).agg(F.min("centre").alias("a")).select("a", "b")
+    starred = written(member.where("node <> centre").groupBy(F.col("node").alias("b")).agg(F.min("centre").alias("a")).select("a", "b"), "near-starred")
     needed = member.select("node").distinct().join(nodes.select("node", "name"), "node")
     texts = written(_texts(read).join(needed, "name").dropDuplicates(["node"]).select("node", "text"), "near-texts")
     first = written(_verified(starred, texts, similarity, words, counted), "near-first")
-
-    # families whose components the first links leave apart; of two nodes the only pair is settled
-    own = components(first, "near-first")
-    family = components(member.select(F.col("centre").alias("a"), F.col("node").alias("b")), "near-family").withColumnRenamed("component", "family")
-    placed = family.join(own, "node", "left").select("node", "family", F.coalesce("component", "node").alias("part"))
-    apart = placed.groupBy("family").agg(F.count("*").alias("m"), F.min("part").alias("first_part"), F.max("part").alias("last_part")).where("m > 2 AND first_part <> last_part")
-    n_blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    dealt = placed.join(apart.select("family", n_blocks.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = written(dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "part"), "near-apart")
-    rows = dealt.join(nodes.select("node", "n", "bands", "sketch"), "node").join(texts, "node")
-    links = written(first.unionByName(_settled(rows, similarity, words, counted)), "near-links")
+    rest = _settled(_unsettled(member, starred, first, nodes), texts, similarity, words, counted)
+    links = written(first.unionByName(rest), "near-links")
 
     parts = components(links, "near")
     labelled = nodes.select("node", "name", "first_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    classes = labelled.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    named = labelled.join(classes, "component").select("name", "class_id")
-    return signed.select("id", "name").join(named, "name").select(F.col("id").alias(id_col), "name", "class_id")
+    # a table of its own, so that the join on components can split the rows of a large one
+    classes = written(labelled.groupBy("component").agg(F.min("first_id").alias("class_id")), "near-classes")
+    named = labelled.join(classes, "component").select("name", "class_id", "component")
+    return signed.select("id", "name").join(named, "name").select(F.col("id").alias(id_col), "name", "class_id", "component")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """One row of ``docs`` for each class of ``near_duplicates``: that of the smallest id, with its smallest name.
-
-    Rows meet their class by name and id; of rows that are equal in both (repeated rows, null
-    ids) one stays.
-    """
+    """One row of ``docs`` for each component of ``near_duplicates``: that of the smallest id (nulls last), with its smallest name; of rows that are equal in both one stays."""
     found = near_duplicates(docs, id_col, text_col, **options)
-    rows = found.select(F.col(id_col).alias("_id"), F.col("name").alias("_name"), "class_id")
-    own = written(rows.where(F.col("_id").eqNullSafe(F.col("class_id"))), "near-own")
-    # classes have the id in common only where rows repeat an id, so the name tells them apart
-    keep = own.groupBy("_id", "_name").agg(F.count("*").alias("_copies"))
-    repeated = not keep.where("_copies > 1").isEmpty()
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    each = found.select("component", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "name").alias("own")).groupBy("component", "own").agg(F.count("*").alias("copies"))
+    best = each.groupBy("component").agg(F.min(F.struct("own", "copies")).alias("best"))
+    keep = written(best.select(F.col("best.own.id").alias("keep_id"), F.col("best.own.name").alias("keep_name"), "best.copies"), "near-kept")
+    pack = packed(docs, id=id_col, text=text_col)
+    schema = T.StructType([*pack.frame.schema.fields, T.StructField("name", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col, 2 << 20):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_names(part.column(text_col)), pa.binary())], [*part.schema.names, "_name"])
+            for part in slices(batch, "text", 2 << 20):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_names(part.column("text").cast(pa.string())), pa.binary())], schema.names)
 
-    named = docs.mapInArrow(run, f"{kinds}, _name binary")
-    kept = named.join(keep.select(F.col("_id"), F.col("_name").alias("_keep")), (F.col("_name") == F.col("_keep")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    return (kept.dropDuplicates(["_name"]) if repeated else kept).drop("_name")
+    named = pack.frame.mapInArrow(run, schema)
+    kept = named.join(keep, (F.col("name") == F.col("keep_name")) & F.col("id").eqNullSafe(F.col("keep_id")))
+    if not keep.where("copies > 1").isEmpty():  # rows that are equal in id and text
+        kept = kept.where("copies = 1").unionByName(kept.where("copies > 1").dropDuplicates(["name"]))
+    return pack.restored(kept)

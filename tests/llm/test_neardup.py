@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import neardup, queries
 from tessera.llm.components import components
@@ -68,6 +69,7 @@ def corpus(seed):
 @pytest.mark.parametrize("weights", ["set", "count"])
 def test_classes_against_brute_force(spark, weights, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 12)
+    monkeypatch.setattr(neardup, "SHINGLES", 1500)
     rows = corpus(3)
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, name int")
     got = defaultdict(list)
@@ -81,6 +83,38 @@ def test_classes_against_brute_force(spark, weights, monkeypatch):
     assert len(lone) == sum(map(len, have))
 
 
+def test_groups_without_links_and_long_texts(spark, monkeypatch):
+    """Families in which many pairs collide and few are links, in small blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        copy = list(base)
+        for at in rng.sample(range(0, 120, 12), rng.randint(0, 5)):
+            copy[at] = f"x{rng.randrange(4)}"
+        rows.append((i, " ".join(copy)))
+    long = [f"v{rng.randrange(10**6)}" for _ in range(60_000)]
+    rows += [(100, " ".join(long)), (101, " ".join(long[:-9])), (102, " ".join(long[:20_000]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = defaultdict(list)
+    for r in neardup.near_duplicates(docs).collect():
+        got[r.class_id].append(r.doc_id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, classes(rows, True)))
+
+
+def test_deduplicated_rows(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(None, text, 1, "a"), (None, text, 2, "b"), (7, text.upper(), 3, "c"), (9, text, 4, "d"), (7, text, 4, "d"), (7, text, 4, "d"), (None, "alone and without any id", 5, "e"), (None, "another one that has none", 6, "f"), (None, None, 7, "g"), (3, "", 8, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, name int, component string").withColumn("rest", F.col("name"))
+    got = neardup.deduplicated(docs).collect()
+    assert sorted((r.doc_id or 0, r.component) for r in got if r.component not in "cd") == [(0, "e"), (0, "f"), (3, "h")] and len(got) == 4
+    assert got[0].asDict().keys() == {"doc_id", "text", "name", "component", "rest"} and all(r.rest == r.name for r in got)
+    assert [r.doc_id for r in got if r.component in "cd"] == [7]
+    unique = neardup.deduplicated(docs.where("component NOT IN ('d', 'g')")).collect()
+    assert sorted(r.component for r in unique) == ["c", "e", "f", "h"]
+
+
 def test_empty(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
