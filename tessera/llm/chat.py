@@ -14,8 +14,9 @@ conversation of any length is formatted with bounded memory. The loss mask of a
 the byte ranges of the assistant's texts.
 
 Turns go by turn (nulls first), then role, then text; repeated rows are all kept; null roles
-and texts count as empty; a null conversation id is a conversation of its own. Only the four
-columns are read, so other columns can't clash. An empty table gives an empty result.
+and texts count as empty; ids have any type, and a null conversation id is a conversation of its
+own. A very long text is a batch, and a piece, of its own. Only the four columns are read, so other
+columns can't clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import slices
 
@@ -87,7 +89,6 @@ def formatted(chats: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     One shuffle, by conversation; the rows stream through sorted. ``loss`` is an array of
     (first, last) byte ranges of ``formatted``, one for each assistant turn, in order.
     """
-    kind = chats.schema[conv_col].dataType.simpleString()
     read = chats.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     ranges = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
@@ -113,7 +114,9 @@ def formatted(chats: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
                 )
 
     in_order = read.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
-    return in_order.mapInArrow(run, f"conv {kind}, piece int, n_turns int, formatted string, loss array<struct<first:long,last:long>>")
+    loss = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
+    kinds = [("piece", T.IntegerType()), ("n_turns", T.IntegerType()), ("formatted", T.StringType()), ("loss", loss)]
+    return in_order.mapInArrow(run, T.StructType([in_order.schema["conv"], *[T.StructField(*k) for k in kinds]]))
 
 
 def parsed(piece: str) -> list[tuple[str, str]]:
@@ -129,8 +132,7 @@ def digests(pieces: DataFrame) -> DataFrame:
     conv, n_turns, turns_sha256 (of role, line feed, text, line feed for each turn),
     loss_chars and loss_sha256 (of all text under the loss mask), formatted_chars.
     """
-    kind = pieces.schema["conv"].dataType.simpleString()
-    names = ["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = {"n_turns": T.LongType(), "turns_sha256": T.StringType(), "loss_chars": T.LongType(), "loss_sha256": T.StringType(), "formatted_chars": T.LongType()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None
@@ -139,8 +141,9 @@ def digests(pieces: DataFrame) -> DataFrame:
             conv, n, turns, chars, loss, size = state
             return [conv, n, turns.hexdigest(), chars, loss.hexdigest(), size]
 
+        kind = pa.null()
         for batch in batches:
-            done = []
+            done, kind = [], batch.schema.field("conv").type
             for r in batch.to_pylist():
                 if state is None or r["piece"] == 0:
                     if state is not None:
@@ -155,13 +158,12 @@ def digests(pieces: DataFrame) -> DataFrame:
                 state[4].update(spoken.encode())
                 state[5] += len(r["formatted"])
             if done:
-                yield out(done)
+                yield out(done, kind)
         if state is not None:
-            yield out([row()])
+            yield out([row()], kind)
 
-    kinds = [None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    def out(rows: list[list], kind: pa.DataType) -> pa.RecordBatch:
+        types = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(types)], ["conv", *kinds])
 
-    def out(rows: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k if k else (pa.int64() if kind == "bigint" else None)) for i, k in enumerate(kinds)], names)
-
-    return pieces.mapInArrow(run, f"conv {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return pieces.mapInArrow(run, T.StructType([pieces.schema["conv"], *[T.StructField(*k) for k in kinds.items()]]))

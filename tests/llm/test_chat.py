@@ -1,6 +1,7 @@
 import hashlib
 
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -44,3 +45,20 @@ def test_query(spark, tmp_path):
 def test_empty(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.formatted(none)).collect() == []
+
+
+@pytest.mark.parametrize(("kind", "ids"), [("int", [1, 2, None]), ("string", ["a", "b", None]), ("date", [__import__("datetime").date(2020, 1, 1), None]), ("double", [0.5, None])])
+def test_ids_of_any_type(spark, kind, ids):
+    rows = [(i, t, "user" if t % 2 else "assistant", f"text {i} {t}", "x") for i in ids for t in range(3)]
+    chats = spark.createDataFrame(rows, f"conv_id {kind}, turn int, role string, text string, piece string")
+    got = chat.digests(chat.formatted(chats))
+    assert got.schema["conv"].dataType == chats.schema["conv_id"].dataType
+    assert {r.conv: (r.n_turns, r.loss_chars) for r in got.collect()} == {i: (3, sum(len(f"text {i} {t}") for t in (0, 2))) for i in ids}
+
+
+def test_a_long_conversation_in_pieces(spark):
+    rows = [(1, t, "user" if t % 2 else "assistant", f"<|im_end|>{t}" * 20_000) for t in range(60)]
+    pieces = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert pieces.count() > 1
+    (row,) = chat.digests(pieces).collect()
+    assert (row.n_turns, row.loss_chars) == (60, sum(len(r[3]) for r in rows if r[2] == "assistant"))
