@@ -11,8 +11,10 @@ times the odds of its path, from which it is itself left out.
 Sums over sites cover all documents by grouped aggregation. Evidence looks at whole texts.
 
 Null texts count as empty, null hosts and paths form a site of their own, null labels and
-labels of unknown documents teach nothing, repeated labels count once per row, and without both
-kinds of labels the evidence is even. Columns added here are refused where the input has them.
+labels of unknown documents teach nothing, labels and labelled documents that repeat count once,
+and without both kinds of labels the evidence is even. Whole texts are read in slices, and neither
+texts nor all features reach the driver. An empty table gives an empty result. All other columns
+are carried along under any names; an input column with the name of an added one is replaced by it.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import slices, written
 
@@ -138,64 +141,83 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def fitted(texts: list[str | None], traits: np.ndarray, features: int = FEATURES, least: int = LEAST, steps: int = 200) -> Model:
-    """A logistic model of each trait (columns of 0 and 1) on the features that tell most about either."""
-    # features as numbers at once: sets of strings for all texts would fill the driver
-    number: dict[str, int] = {}
-    each = [np.fromiter((number.setdefault(f, len(number)) for f in text_features(t)), np.int64) for t in texts]
-    n = len(each)
-    row, col = np.repeat(np.arange(n), [len(x) for x in each]), np.concatenate([*each, np.empty(0, np.int64)])
-    often = np.bincount(col, minlength=len(number)) >= least
-    names = sorted(f for f, i in number.items() if often[i])
-    place = np.full(len(number), -1)
-    place[[number[f] for f in names]] = np.arange(len(names))
-    del number, each
-    keep = often[col] if len(col) else np.zeros(0, bool)
-    row, col = row[keep], place[col[keep]]
-    weights, bias, prior = {}, [], []
-    for t in range(traits.shape[1]):
-        y = traits[:, t].astype(float)
-        p = float(y.mean()) if n else 0.0
-        prior.append(min(max(p, 1e-4), 1 - 1e-4))
-        if not n or p in (0.0, 1.0):
-            bias.append(_logit(prior[-1]))
-            continue
-        have = np.bincount(col, minlength=len(names)).astype(float)
-        both = np.bincount(col, y[row], len(names))
-
-        def part(k: np.ndarray, m: np.ndarray, p: float = p) -> np.ndarray:
-            q = np.clip(k / np.maximum(m, 1), 1e-12, 1 - 1e-12)
-            return k * np.log(q / p) + (m - k) * np.log((1 - q) / (1 - p))
-
-        gain = part(both, have) + part(y.sum() - both, n - have)
-        chosen = np.sort(np.argsort(-gain, kind="stable")[:features])
-        chosen = chosen[gain[chosen] > 4.0]
-        of = np.full(len(names), -1)
-        of[chosen] = np.arange(len(chosen))
-        own = of[col] >= 0 if len(col) else np.zeros(0, bool)
-        r, c = row[own], of[col[own]]
-        w, b, m_w, v_w = np.zeros(len(chosen)), _logit(p), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
-        for step in range(1, steps + 1):  # Adam on the penalised likelihood
-            z = b + np.bincount(r, w[c], n)
-            g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-            grad = np.append(np.bincount(c, g[r], len(chosen)) + 0.5 * w, g.sum())
-            m_w, v_w = 0.9 * m_w + 0.1 * grad, 0.999 * v_w + 0.001 * grad**2
-            move = 0.1 * (m_w / (1 - 0.9**step)) / (np.sqrt(v_w / (1 - 0.999**step)) + 1e-8)
-            w, b = w - move[:-1], b - move[-1]
-        bias.append(float(b))
-        for f, x in zip(chosen.tolist(), w.tolist(), strict=True):
-            both_w = list(weights.get(names[f], (0.0, 0.0)))
-            both_w[t] = x
-            weights[names[f]] = tuple(both_w)
-    return Model(weights, tuple(bias), tuple(prior))
-
-
-def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """The model of at most ``sample`` labelled documents: those whose ids hash lowest."""
-    told = labels.select(F.col(id_col).alias("id"), (1 - F.col(quality_col)).alias("poor"), F.col(toxic_col).alias("toxic")).dropna()
-    chosen = told.orderBy(F.xxhash64("id"), "id", "poor", "toxic").limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", "text").limit(sample).collect()
-    return fitted([r.text for r in rows], np.array([[r.poor, r.toxic] for r in rows], int).reshape(-1, 2))
+def _solved(row: np.ndarray, col: np.ndarray, n: int, width: int, y: np.ndarray, steps: int = 200) -> tuple[np.ndarray, float]:
+    """Weights and bias of the penalised logistic model of ``y`` on sparse features (row, col), by Adam."""
+    w, b, m_w, v_w = np.zeros(width), _logit(float(y.mean())), np.zeros(width + 1), np.zeros(width + 1)
+    for step in range(1, steps + 1):
+        z = b + np.bincount(row, w[col], n)
+        g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+        grad = np.append(np.bincount(col, g[row], width) + 0.5 * w, g.sum())
+        m_w, v_w = 0.9 * m_w + 0.1 * grad, 0.999 * v_w + 0.001 * grad**2
+        move = 0.1 * (m_w / (1 - 0.9**step)) / (np.sqrt(v_w / (1 - 0.999**step)) + 1e-8)
+        w, b = w - move[:-1], b - move[-1]
+    return w, float(b)
+
+
+def _gain(have: Column, both: Column, n: int, p: float) -> Column:
+    """How much a feature of ``have`` documents, ``both`` of them of the trait, tells about the trait of share ``p``."""
+
+    def part(k: Column, m: Column) -> Column:
+        q = F.greatest(F.least(k / F.greatest(m, F.lit(1)), F.lit(1 - 1e-12)), F.lit(1e-12))
+        return k * F.log(q / p) + (m - k) * F.log((1 - q) / (1 - p))
+
+    return part(both, have) + part(F.lit(round(n * p)) - both, F.lit(n) - have)
+
+
+def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic", sample: int = SAMPLE, features: int = FEATURES, least: int = LEAST) -> Model:
+    """A logistic model of each trait on the features that tell most about it, fitted on at most ``sample`` labelled documents: those whose ids hash lowest.
+
+    Texts stay on the executors: features are counted there, and the driver gets ``features``
+    names a trait and the sample's pairs of a document and such a feature.
+    """
+    told = labels.select(F.col(id_col).alias("id"), (1 - F.col(quality_col)).cast("int").alias("poor"), F.col(toxic_col).cast("int").alias("toxic")).dropna()
+    chosen = told.distinct().orderBy(F.xxhash64("id"), "id", "poor", "toxic").limit(sample)
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"))
+    named = written(read.select("id", "hash").join(F.broadcast(chosen), "id").distinct().orderBy(F.xxhash64("id"), "id", "hash", "poor", "toxic").limit(sample), "quality-sample")
+    rows = named.orderBy(F.xxhash64("id"), "id", "hash", "poor", "toxic").select(F.struct("id", "hash").alias("key"), "poor", "toxic").collect()
+    n, traits = len(rows), np.array([[r.poor, r.toxic] for r in rows], int).reshape(-1, len(TRAITS))
+    prior = tuple(min(max(float(p), 1e-4), 1 - 1e-4) for p in traits.mean(0)) if n else (1e-4,) * len(TRAITS)
+    bias, weights = [_logit(p) for p in prior], {}
+    if not n:
+        return Model(weights, tuple(bias), prior)
+    schema = T.StructType([named.schema["id"], T.StructField("hash", T.LongType()), T.StructField("features", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = [sorted(text_features(t)) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("hash"), pa.array(found, pa.list_(pa.string()))], schema.names)
+
+    wanted = F.broadcast(named.select("id", "hash").distinct())
+    featured = read.join(wanted, ["id", "hash"], "left_semi").select("id", "text", "hash").mapInArrow(run, schema)
+    each = written(featured.groupBy("id", "hash").agg(F.first("features").alias("features")).join(F.broadcast(named), ["id", "hash"]), "quality-features")
+    have = [F.count("*").alias("have"), *[F.sum(t).alias(t) for t in TRAITS]]
+    counts = written(each.select(F.explode("features").alias("feature"), *TRAITS).groupBy("feature").agg(*have).where(F.col("have") >= least), "quality-counts")
+    best: dict[str, list[str]] = {}
+    for t, trait in enumerate(TRAITS):
+        if 0 < traits[:, t].sum() < n:
+            gained = counts.select("feature", _gain(F.col("have"), F.col(trait), n, float(traits[:, t].mean())).alias("gain")).where("gain > 4")
+            best[trait] = [r.feature for r in gained.orderBy(F.desc("gain"), "feature").limit(features).select("feature").collect()]
+    names = sorted({f for found in best.values() for f in found})
+    if not names:
+        return Model(weights, tuple(bias), prior)
+    index = docs.sparkSession.createDataFrame(list(enumerate(names)), "col int, feature string")
+    pairs = each.select("id", "hash", "poor", "toxic", F.explode("features").alias("feature")).join(F.broadcast(index), "feature")
+    held = pairs.select(F.struct("id", "hash").alias("key"), "poor", "toxic", "col").groupBy("key", "poor", "toxic").agg(F.sort_array(F.collect_list("col")).alias("cols")).collect()
+    cols = {(r.key, r.poor, r.toxic): r.cols for r in held}
+    of = [cols.get((r.key, r.poor, r.toxic), []) for r in rows]
+    row, col = np.repeat(np.arange(n), [len(c) for c in of]), np.concatenate([*(np.array(c, np.int64) for c in of), np.empty(0, np.int64)])
+    for t, trait in enumerate(TRAITS):
+        if trait in best:
+            own = np.full(len(names), -1)
+            own[np.searchsorted(names, sorted(best[trait]))] = np.arange(len(best[trait]))
+            mine = own[col] >= 0
+            w, bias[t] = _solved(row[mine], own[col[mine]], n, len(best[trait]), traits[:, t].astype(float))
+            for f, x in zip(sorted(best[trait]), w.tolist(), strict=True):
+                both = list(weights.get(f, (0.0,) * len(TRAITS)))
+                both[t] = x
+                weights[f] = tuple(both)
+    return Model(weights, tuple(bias), prior)
 
 
 def _odds(p: Column) -> Column:
@@ -211,46 +233,46 @@ def _strength(n: Column, rate: Column, mean: Column) -> Column:
 
 def posteriors(scored: DataFrame, prior: tuple[float, float], host: Column, path: Column) -> DataFrame:
     """``scored`` (with evidence_poor and evidence_toxic) with p_poor and p_toxic."""
-    rows = scored.withColumns({"_host": F.coalesce(host.cast("string"), F.lit("")), "_path": F.coalesce(path.cast("string"), F.lit(""))})
+    plain = [f"`{c}`" for c in scored.columns if c not in ADDED[2:]]
+    sited = scored.select(F.struct(*plain).alias("row"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), *[F.col(f"evidence_{t}") for t in TRAITS])
     own = {t: 1 / (1 + F.exp(-F.greatest(F.least(F.col(f"evidence_{t}") + _logit(p), F.lit(30.0)), F.lit(-30.0)))) for t, p in zip(TRAITS, prior, strict=True)}
-    rows = rows.withColumns({f"_own_{t}": x for t, x in own.items()})
-    paths = rows.groupBy("_host", "_path").agg(F.count("*").alias("n"), *[F.sum(f"_own_{t}").alias(f"s_{t}") for t in TRAITS])
+    rows = sited.withColumns({f"own_{t}": x for t, x in own.items()})
+    paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), *[F.sum(f"own_{t}").alias(f"s_{t}") for t in TRAITS])
     paths = written(paths, "quality-paths")
-    hosts = paths.groupBy("_host").agg(F.sum("n").alias("n_host"), *[F.sum(f"s_{t}").alias(f"h_{t}") for t in TRAITS])
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n_host"), *[F.sum(f"s_{t}").alias(f"h_{t}") for t in TRAITS])
     top = hosts.agg(F.sum("n_host").alias("n"), *[F.sum(f"h_{t}").alias(t) for t in TRAITS]).first()
     mean = {t: F.lit(min(max((top[t] or 0.0) / max(1, top.n or 0), 1e-4), 1 - 1e-4)) for t in TRAITS}
     of_hosts = hosts.agg(*[_strength(F.col("n_host"), F.col(f"h_{t}") / F.col("n_host"), mean[t]).alias(t) for t in TRAITS]).first()
-    inside = paths.join(hosts, "_host")
+    inside = paths.join(hosts, "host")
     host_rate = {t: F.greatest(F.least(F.col(f"h_{t}") / F.col("n_host"), F.lit(1 - 1e-4)), F.lit(1e-4)) for t in TRAITS}
     of_paths = inside.agg(*[_strength(F.col("n"), F.col(f"s_{t}") / F.col("n"), host_rate[t]).alias(t) for t in TRAITS]).first()
     sites = written(inside, "quality-sites")
-    joined = rows.join(sites, ["_host", "_path"])
+    joined = rows.join(sites, ["host", "path"])
     out = {}
     for t in TRAITS:
-        own, strong, strong_host = F.col(f"_own_{t}"), F.lit(of_paths[t] or WEAKEST), F.lit(of_hosts[t] or WEAKEST)
+        own, strong, strong_host = F.col(f"own_{t}"), F.lit(of_paths[t] or WEAKEST), F.lit(of_hosts[t] or WEAKEST)
         at_host = (F.col(f"h_{t}") - own + strong_host * mean[t]) / (F.col("n_host") - 1 + strong_host)
         at_path = (F.col(f"s_{t}") - own + strong * at_host) / (F.col("n") - 1 + strong)
         site = F.greatest(F.least(at_path, F.lit(1 - 1e-6)), F.lit(1e-6))
         z = F.greatest(F.least(F.col(f"evidence_{t}") + F.log(_odds(site)), F.lit(30.0)), F.lit(-30.0))
         out[f"p_{t}"] = 1 / (1 + F.exp(-z))
-    return joined.withColumns(out).select(*scored.columns, *out)
+    return joined.select("row.*", *[x.alias(name) for name, x in out.items()])
 
 
 def rated(docs: DataFrame, model: Model, host: Column, path: Column, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with evidence_poor, evidence_toxic, p_poor and p_toxic; without the text if not ``keep_text``."""
-    if taken := set(ADDED) & set(docs.columns):
-        raise ValueError(f"the documents already have {sorted(taken)}")
-    carried = [f for f in docs.schema.fields if keep_text or f.name != text_col]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
+    carried = [f for f in docs.schema.fields if f.name not in ADDED and (keep_text or f.name != text_col)]
+    schema = T.StructType([*carried, *[T.StructField(name, T.DoubleType()) for name in ADDED[:2]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
-                evidence = model.evidence(part.column(text_col))
+                evidence = model.evidence(part.column(text_col).cast(pa.string()))
                 kept = [part.column(f.name) for f in carried]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(evidence[:, 0]), pa.array(evidence[:, 1])], [*(f.name for f in carried), *ADDED[:2]])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(evidence[:, 0]), pa.array(evidence[:, 1])], schema.names)
 
-    scored = written(docs.mapInArrow(run, f"{kinds}, evidence_poor double, evidence_toxic double"), "quality-scored")
+    read = docs.select(*[f"`{c}`" for c in docs.columns if c not in ADDED])
+    scored = written(read.mapInArrow(run, schema), "quality-scored")
     return posteriors(scored, model.prior, host, path)
 
 

@@ -1,7 +1,6 @@
 import math
 import random
 
-import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -25,9 +24,10 @@ def corpus(seed, n=900):
     return rows, labels
 
 
-def test_evidence_equals_the_sum_over_features():
+def test_evidence_equals_the_sum_over_features(spark):
     rows, labels = corpus(1)
-    model = quality.fitted([r[1] for r in rows[:600]], np.array([[1 - q, t] for _, q, t in labels[:600]]))
+    model = quality.trained(spark.createDataFrame(rows[:600], "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels[:600], "doc_id long, quality int, toxic int"))
+    assert 5 < len(model.weights) <= 2 * quality.FEATURES and model.weights["vileword"][1] > 1 and model.weights["<s>0.4"][0] > 1
     texts = [r[1] for r in rows[600:]] + ["", " \n ", "a | b | c", "VILEWORD!! VILEWORD!!", "x " * 9000]
     got = model.evidence(pa.array(texts))
     for text, row in zip(texts, got.tolist(), strict=True):
@@ -87,5 +87,17 @@ def test_edges(spark):
     assert sorted(got.columns) == sorted([*docs.columns, *quality.ADDED]) and got.count() == 2
     assert quality.accepted(got).count() == 2
     assert quality.rated(docs.limit(0), even, F.col("source"), F.col("source")).collect() == []
-    with pytest.raises(ValueError, match="p_toxic"):
-        quality.rated(docs.selectExpr("*", "1 AS p_toxic"), even, F.col("source"), F.col("source"))
+    clash = docs.selectExpr("*", "1 AS p_toxic", "2 AS n", "3 AS n_host", "4 AS h_poor", "5 AS s_toxic", "6 AS host", "7 AS path", "8 AS own_poor", "9 AS `row`", "10 AS evidence_poor", "11 AS _host")
+    for r in quality.rated(clash, even, F.col("source"), F.col("n")).collect():
+        assert (r.n, r.n_host, r.h_poor, r.s_toxic, r.host, r.path, r.own_poor, r.row, r._host) == (2, 3, 4, 5, 6, 7, 8, 9, 11) and r.p_toxic < 0.5 and r.evidence_poor == 0
+
+
+def test_sample_is_bounded_and_repeats_count_once(spark):
+    rows, labels = corpus(5, 300)
+    schema = "doc_id long, text string, lang string, source string"
+    told = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    once, many = (quality.trained(spark.createDataFrame(rows + more, schema), told) for more in ([], [rows[3]] * 400 + rows[:50]))
+    assert once.weights.keys() == many.weights.keys() and once.prior == many.prior
+    assert all(once.weights[f] == pytest.approx(many.weights[f]) for f in once.weights)
+    few = quality.trained(spark.createDataFrame(rows, schema), told, sample=40, features=7)
+    assert len(few.weights) <= 14
