@@ -13,14 +13,13 @@ from tessera.llm.pii import pseudonymised
 from tessera.llm.substrings import without_repeats
 from tessera.llm.token_counts import token_counts
 from tessera.llm.topk import top_k
+from tessera.sources.shared import fresh_path
 from tessera.sources.tables import load
 
 #: The tokenizer of op10.
 TOKENIZER = "byte_bpe_50k.json"
 
 
-
-
 def op1_topk(spark, sf_dir):
     """The 20 best rows for every row whose vec_id is divisible by 20."""
     return top_k(load(spark, sf_dir, "embeddings"), k=20, every=20)
@@ -55,19 +54,13 @@ SHARDS = 16
 
 
 def op6_sharding(spark, sf_dir):
-    """Every document in one of SHARDS shards of nearly equal bytes."""
+    """Every document in one of SHARDS shards of nearly equal bytes, by a stored map of virtual slots."""
     docs = load(spark, sf_dir, "documents")
     text = F.col("text")
-    narrow = written(
-        docs.select(
-            "doc_id",
-            sharding.record_bytes(text).alias("size"),
-            F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
-            sharding.virtual_slot(F.col("doc_id"), text).alias("virtual_slot"),
-        ),
-        "op6",
-    )
-    slot_map = sharding.first_map(sharding.slot_bytes(narrow), SHARDS)
+    records = docs.select("doc_id", sharding.record_bytes(text).alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), F.xxhash64(F.coalesce(text, F.lit(""))).cast("string").alias("content"))
+    slot = sharding.virtual_slot(F.col("doc_id"), F.col("content"), copy=F.col("copy"))
+    narrow = written(sharding.spread(records).select("doc_id", "size", "text_crc32", slot.alias("virtual_slot")), "op6")
+    slot_map = sharding.kept_map(sharding.slot_bytes(narrow), SHARDS, fresh_path(spark, "op6-map"))
     owned = narrow.join(F.broadcast(slot_map.drop("version")), "virtual_slot")
     law = F.lit("bytes").alias("law")
     return sharding.placed(owned, ["doc_id", "size", "text_crc32"]).select("doc_id", "size", "text_crc32", law, "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
@@ -91,13 +84,13 @@ def op8_chat(spark, sf_dir):
     return chat.digests(chat.formatted(chats)).withColumnRenamed("conv", "conv_id")
 
 
-#: The key of op9's surrogates; a deployment sets its own.
+#: The key of op9's surrogates where the session has none in tessera.surrogate.key; a deployment sets its own.
 SURROGATE_KEY = "tessera"
 
 
 def op9_pii(spark, sf_dir):
     """Every document with personal data and secrets replaced by surrogates."""
-    return pseudonymised(load(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    return pseudonymised(load(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get("tessera.surrogate.key", SURROGATE_KEY))
 
 
 def op10_token_counts(spark, sf_dir):

@@ -1,23 +1,29 @@
 """Sharding by fixed virtual slots (operator 6), in DataFrame functions only.
 
 Records hash into ``n_slots`` virtual slots, which never change. Bytes are summed per slot,
-and a small versioned map says which shard owns each slot. Rebalancing edits that map and
-moves whole slots; records never hash again.
+and a small versioned map, stored as a table, says which shard owns each slot. Rebalancing adds a
+version in which some whole slots have moved; records never hash again.
 
 The map has exactly ``n_slots`` rows, so folding it in one row and broadcasting it are
 bounded by that parameter, not by the data.
 
-A null id hashes by the text, a null text counts as empty, repeated rows each keep a
-place of their own, an empty table yields an empty result, and columns added here overwrite
-none: the operator refuses records that already have them.
+A record's slot follows from its id and text, so that an id that many rows share fills many slots;
+``spread`` also numbers the copies of equal records, and copies go by their numbers. A null id or
+text counts as empty, and a very long text is one record, whose bytes no map can divide. Repeated
+rows each keep a place of their own, and an empty table yields an empty result. Other columns are
+carried along; an input column with the name of an added one is replaced by it.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-N_SLOTS = 4096
+from tessera.llm.common import packed
+
+#: Virtual slots, copies of a record that one row stands for, and how far a shard may be over the mean before slots move.
+N_SLOTS, COPIES, TOLERANCE = 4096, 65_536, 0.02
 
 
 def record_bytes(text: Column) -> Column:
@@ -25,9 +31,19 @@ def record_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def virtual_slot(id_col: Column, text: Column, n_slots: int = N_SLOTS) -> Column:
-    """The slot of a record: by its id alone, or by its text where the id is null."""
-    return F.pmod(F.xxhash64(F.coalesce(id_col.cast("string"), text, F.lit(""))), F.lit(n_slots)).cast("int")
+def virtual_slot(id_col: Column, text: Column, n_slots: int = N_SLOTS, copy: Column | None = None) -> Column:
+    """The slot of a record by its id and text, and by its number among equal records if ``copy`` gives that."""
+    empty = F.lit("")
+    told = F.xxhash64(F.coalesce(id_col.cast("string"), empty), F.coalesce(text, empty))
+    return F.pmod(told if copy is None else F.when(copy == 0, told).otherwise(F.xxhash64(told, copy)), F.lit(n_slots)).cast("int")
+
+
+def spread(records: DataFrame) -> DataFrame:
+    """``records`` with copy: the number of each among equal ones, from 0 on. Equal records are counted before the shuffle and dealt out again COPIES at a time."""
+    counted = records.groupBy(*records.columns).agg(F.count("*").alias("n"))
+    parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    dealt = parts.repartition(*records.columns, "part").withColumn("first", F.col("part") * COPIES)
+    return dealt.select(*records.columns, F.explode(F.sequence("first", F.least(F.col("first") + (COPIES - 1), F.col("n") - 1))).alias("copy"))
 
 
 def slot_bytes(records: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
@@ -59,7 +75,7 @@ def first_map(slots: DataFrame, n_shards: int) -> DataFrame:
     return _in_one_row(slots).select(*_map_rows(F.aggregate("s", state, put)["owner"], 1))
 
 
-def rebalanced(slot_map: DataFrame, slots: DataFrame, n_shards: int, version: int, tolerance: float = 0.02) -> DataFrame:
+def rebalanced(slot_map: DataFrame, slots: DataFrame, n_shards: int, version: int, tolerance: float = TOLERANCE) -> DataFrame:
     """The map edited to ``version``: slots leave shards over the mean by more than ``tolerance``, and shards that are gone.
 
     The largest slots move first, to the shard with the fewest bytes, and only where they fit;
@@ -98,12 +114,27 @@ def stored_map(spark: SparkSession, path: str, version: int | None = None) -> Da
     return every.where(F.col("version") == version).select("version", "virtual_slot", "shard")
 
 
+def kept_map(slots: DataFrame, n_shards: int, path: str, tolerance: float = TOLERANCE) -> DataFrame:
+    """The map at ``path``, read back: version 1 made from the slots where there is none, and a further version where slots must move."""
+    spark = slots.sparkSession
+    try:
+        current = stored_map(spark, path)
+    except AnalysisException:  # no map yet
+        store_map(first_map(slots, n_shards), path)
+        current = stored_map(spark, path)
+    edited = rebalanced(current, slots, n_shards, current.first()["version"] + 1, tolerance)
+    moved = edited.join(current.select("virtual_slot", F.col("shard").alias("held")), "virtual_slot").where("shard <> held")
+    if moved.isEmpty():
+        return current
+    store_map(edited, path)
+    return stored_map(spark, path)
+
+
 def sharded(records: DataFrame, slot_map: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
     """``records`` with virtual_slot and shard. No shuffle: the map's n_slots rows are broadcast."""
-    if taken := {"virtual_slot", "shard"} & set(records.columns):
-        raise ValueError(f"the records already have {sorted(taken)}")
-    own = records.withColumn("virtual_slot", virtual_slot(F.col(id_col), F.col(text_col), n_slots))
-    return own.join(F.broadcast(slot_map.select("virtual_slot", "shard")), "virtual_slot")
+    pack = packed(records, id=id_col, text=text_col)
+    own = pack.frame.withColumn("virtual_slot", virtual_slot(F.col("id"), F.col("text").cast("string"), n_slots))
+    return pack.restored(own.join(F.broadcast(slot_map.select("virtual_slot", "shard")), "virtual_slot"), {c: F.col(c) for c in ("virtual_slot", "shard")})
 
 
 def placed(records: DataFrame, key: list[str]) -> DataFrame:

@@ -1,7 +1,6 @@
 import zlib
 from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import queries, sharding
@@ -56,6 +55,43 @@ def test_versions_and_rebalancing(spark, tmp_path):
 
 
 def test_clashing_columns(spark):
-    docs = spark.createDataFrame([(1, "a", 3)], "doc_id long, text string, shard int")
-    with pytest.raises(ValueError, match="shard"):
-        sharding.sharded(docs, docs)
+    docs = spark.createDataFrame([(1, "a", 3, "v", "r")], "doc_id long, text string, shard int, id string, rest string")
+    slot_map = spark.range(sharding.N_SLOTS).selectExpr("1 AS version", "CAST(id AS int) AS virtual_slot", "9 AS shard")
+    (row,) = sharding.sharded(docs, slot_map).collect()
+    assert (row.doc_id, row.text, row.shard, row.id, row.rest) == (1, "a", 9, "v", "r")
+
+
+def test_hot_ids_and_copies_are_spread(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 100)
+    rows = [(7, f"text {i}") for i in range(2000)] + [(8, "copy")] * 2500 + [(i, None) for i in range(100, 900)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_sharding(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len(t or "") + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    load, slots = Counter(), Counter()
+    for r in got:
+        load[r.shard] += r["size"]
+        slots[r.virtual_slot] += r["size"]
+    assert len(load) == 16 and max(load.values()) - min(load.values()) <= max(slots.values())
+    assert sorted((r.shard, r.slot) for r in got) == [(k, i) for k in range(16) for i in range(sum(r.shard == k for r in got))]
+    # brute force: the greedy map of the slots
+    want, free = {}, [0] * 16
+    for size, slot in sorted((-n, v) for v, n in slots.items()):
+        want[slot] = free.index(min(free))
+        free[want[slot]] -= size
+    assert {r.virtual_slot: r.shard for r in got} == want
+
+
+def test_map_is_kept_and_edited(spark, tmp_path):
+    slots = sharding.slot_bytes(records(spark, [(i, "a" * (i * i % 301)) for i in range(3000)]), 64)
+    path = str(tmp_path / "kept")
+    first = sharding.kept_map(slots, 4, path, 0.1)
+    assert {r.version for r in first.collect()} == {r.version for r in sharding.kept_map(slots, 4, path, 0.1).collect()} == {1}
+    grown = sharding.kept_map(slots, 5, path, 0.1)
+    assert {r.version for r in grown.collect()} == {2} and {r.shard for r in grown.collect()} == set(range(5))
+    assert {r.version for r in sharding.stored_map(spark, path, 1).collect()} == {1}
+
+
+def test_long_text(spark, tmp_path):
+    spark.createDataFrame([(1, "é" * 3_000_000), (2, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op6_sharding(spark, str(tmp_path)).collect()}
+    assert got[1]["size"] == 6_000_001 and got[1].shard != got[2].shard
