@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import written
 
 #: Vectors of a block and of a range, vectors that fix the order, and blocks scored between two looks at the bounds.
-BLOCK, RANGE, PIVOTS, STEP = 128, 8192, 64, 4
+BLOCK, RANGE, PIVOTS, STEP = 128, 2048, 64, 4
 #: Ranges a query visits first, and rows of maxima that a task looks at together.
 PROBES, GROUP = 2, 1024
 
