@@ -30,17 +30,23 @@ def with_columns(df: DataFrame, *columns: Mapping[str, Column]) -> DataFrame:
 
 
 def materialize(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """Compute ``df`` now and cut its lineage: as Parquet under ``folder``, by default in the shared folder."""
+    """Compute ``df`` now and cut its lineage: as Parquet under ``folder``, by default that in ``tessera.cache_path`` or the shared folder."""
     spark = df.sparkSession
+    folder = folder or spark.conf.get("tessera.cache_path", None)
     path = f"{folder.rstrip('/')}/cache-{uuid.uuid4().hex}" if folder else fresh_path(spark, "cache")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_duplicates(df: DataFrame, subset: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """One row for each value of ``subset``: the first by ``order``, so that the survivor doesn't depend on the plan."""
+    """One row for each value of ``subset``: the first by ``order``, so that the survivor doesn't depend on the plan.
+
+    Spark cuts each task's rows to the first of a value before the shuffle (WindowGroupLimit), so a
+    value that many rows hold sends one row a task.
+    """
+    number = "row_" + "_".join(df.columns)
     row = F.row_number().over(Window.partitionBy(*subset).orderBy(*order))
-    return df.withColumn("_row", row).where("_row = 1").drop("_row")
+    return df.withColumn(number, row).where(F.col(f"`{number}`") == 1).drop(number)
 
 
 def union_by_name(left: DataFrame, right: DataFrame, missing: bool = False) -> DataFrame:

@@ -57,11 +57,15 @@ def min_by_max_by(spark, sf_dir):
 
 @query(
     "A10", "A11",
-    oracle="""SELECT c_nationkey, first(v) AS only_v, last(v) AS same_v FROM (SELECT DISTINCT c_nationkey, 'n' || c_nationkey AS v FROM customer) GROUP BY c_nationkey""",
+    oracle="""SELECT c_nationkey, any_value(v) AS only_v, any_value(v) AS same_v, bool_or(v IS NULL) AS some_null, true AS first_is_member FROM
+              (SELECT c_nationkey, CASE WHEN c_acctbal > 0 THEN 'n' || c_nationkey END AS v FROM customer) GROUP BY c_nationkey""",
 )
 def first_last_group(spark, sf_dir):
-    rows = load(spark, sf_dir, "customer").select("c_nationkey", F.concat(F.lit("n"), "c_nationkey").alias("v")).distinct()
-    return rows.groupBy("c_nationkey").agg(F.first("v").alias("only_v"), F.last("v", ignorenulls=True).alias("same_v"))
+    """In a group without an order, first and last are some value of it, and with ignorenulls one that isn't null."""
+    rows = load(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.when(F.col("c_acctbal") > 0, F.concat(F.lit("n"), "c_nationkey")).alias("v"))
+    first, last = F.first("v", ignorenulls=True).alias("only_v"), F.last("v", ignorenulls=True).alias("same_v")
+    inside = F.array_contains(F.collect_set("c_custkey"), F.first("c_custkey")) & F.array_contains(F.collect_set("c_custkey"), F.last("c_custkey"))
+    return rows.groupBy("c_nationkey").agg(first, last, F.max(F.col("v").isNull()).alias("some_null"), inside.alias("first_is_member"))
 
 
 @query("A12", oracle="SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names, count(*)::INTEGER AS n FROM nation GROUP BY n_regionkey")

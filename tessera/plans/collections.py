@@ -49,10 +49,10 @@ def create_map_keys_values(spark, sf_dir):
     return load(spark, sf_dir, "nation").select("n_nationkey", F.concat_ws(",", F.map_keys(m)).alias("k"), F.concat_ws(",", F.map_values(m).cast("array<string>")).alias("v"))
 
 
-@query("C13", "C3", oracle="SELECT n_nationkey, 3 AS n, n_regionkey AS c, 0 AS none FROM nation")
+@query("C13", "C3", oracle="SELECT n_nationkey, 3 AS n, 'a,b,c' AS k, concat_ws(',', n_nationkey, 2, n_regionkey) AS v, 0 AS none FROM nation")
 def map_concat(spark, sf_dir):
-    m = F.map_concat(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)), F.create_map(F.lit("c"), F.col("n_regionkey")))
-    return load(spark, sf_dir, "nation").select("n_nationkey", F.size(m).alias("n"), m["c"].alias("c"), F.size(F.map_concat()).alias("none"))
+    m = F.map_concat(F.create_map(F.lit("a"), F.col("n_nationkey"), F.lit("b"), F.lit(2)), F.create_map(F.lit("c"), F.col("n_regionkey")))
+    return load(spark, sf_dir, "nation").select("n_nationkey", F.size(m).alias("n"), F.concat_ws(",", F.map_keys(m)).alias("k"), F.concat_ws(",", F.map_values(m).cast("array<string>")).alias("v"), F.size(F.map_concat()).alias("none"))
 
 
 @query("C1", "A15", oracle="SELECT DISTINCT l_returnflag AS f, l_linestatus AS s FROM lineitem")

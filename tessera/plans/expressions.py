@@ -107,3 +107,13 @@ def get_item_array_map_struct(spark, sf_dir):
 def array_index_edges(spark, sf_dir):
     a = F.array("n_nationkey", "n_regionkey")
     return load(spark, sf_dir, "nation").select("n_nationkey", a[-1].alias("below"), F.element_at(a, -1).alias("last"), F.element_at(a, 5).alias("beyond"))
+
+
+@query("E24", oracle="""SELECT l_orderkey, l_linenumber, l_orderkey % 7 AS rest, power(l_linenumber, 2) AS square, (l_linenumber & 3) AS both, (l_linenumber | 8) AS either, xor(l_linenumber, 5) AS one,
+    l_shipmode_like AS liked, nullif(l_returnflag, 'N') AS flag, greatest(l_quantity, l_tax) AS most, least(l_quantity, l_tax) AS least FROM (SELECT *, l_returnflag ILIKE 'n%' AS l_shipmode_like FROM lineitem)""")
+def arithmetic_beyond(spark, sf_dir):
+    n, flag = F.col("l_linenumber"), F.col("l_returnflag")
+    return load(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_orderkey") % 7).alias("rest"), (n**2).alias("square"), n.bitwiseAND(3).alias("both"), n.bitwiseOR(8).alias("either"), n.bitwiseXOR(5).alias("one"),
+        flag.ilike("n%").alias("liked"), F.nullif(flag, F.lit("N")).alias("flag"), F.greatest("l_quantity", "l_tax").alias("most"), F.least("l_quantity", "l_tax").alias("least"),
+    )

@@ -32,13 +32,15 @@ def join_multi_cond(spark, sf_dir):
     return i.join(p, [i.l_partkey == p.p_partkey, i.l_quantity > p.p_size]).select("l_orderkey", "l_linenumber", "p_partkey")
 
 
-_LEFT = "(SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 <> 0) c"
-_RIGHT = "(SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 2 = 0) o"
+#: All rows of both tables; keys moved out of the other side's range make rows without a partner.
+_LEFT = "(SELECT CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS c_custkey, c_name FROM customer) c"
+_RIGHT = "(SELECT o_orderkey, CASE WHEN o_custkey % 2 = 1 THEN o_custkey + 1000000000 ELSE o_custkey END AS o_custkey FROM orders) o"
 
 
 def _sides(spark, sf_dir):
-    c = load(spark, sf_dir, "customer").where(F.col("c_custkey") % 3 != 0).select("c_custkey", "c_name")
-    o = load(spark, sf_dir, "orders").where(F.col("o_custkey") % 2 == 0).select("o_orderkey", "o_custkey")
+    c_key, o_key = F.col("c_custkey"), F.col("o_custkey")
+    c = load(spark, sf_dir, "customer").select(F.when(c_key % 3 == 0, -c_key).otherwise(c_key).alias("c_custkey"), "c_name")
+    o = load(spark, sf_dir, "orders").select("o_orderkey", F.when(o_key % 2 == 1, o_key + 1_000_000_000).otherwise(o_key).alias("o_custkey"))
     return c, o
 
 

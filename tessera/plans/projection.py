@@ -9,7 +9,7 @@ from tessera.sources.shared import fresh_path
 from tessera.sources.tables import load, read_csv, register, write_csv, write_parquet
 
 
-@query("IO4", "IO18", "P1", oracle="SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity < 5")
+@query("IO4", "P1", oracle="SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity < 5")
 def scan_parquet(spark, sf_dir):
     return load(spark, sf_dir, "lineitem").where(F.col("l_quantity") < 5).select("l_orderkey", "l_quantity")
 
@@ -52,12 +52,53 @@ def create_dataframe_infer(spark, sf_dir):
     return create_dataframe(spark, [{"a": 1, "b": 1, "c": "x"}, {"b": 2.5, "c": 7, "d": 3_000_000_000}])
 
 
+@query("IO1", oracle="""SELECT * FROM (VALUES (1, 2.5::DOUBLE, 'x', 'k=1', 's:7'), (2, NULL, NULL, 'k=2,m=3', 's:'), (NULL, 1.0, 'y', '', ':9')) t(a, b, c, m, s)""")
+def create_dataframe_schema(spark, sf_dir):
+    """Rows under an explicit schema: types as given, maps, structs of mappings and of tuples, and NaN as null."""
+    schema = "a int, b double, c string, m map<string,int>, s struct<p:string,q:int>"
+    frame = create_dataframe(spark, [[1, 2.5, "x", {"k": 1}, {"p": "s", "q": 7}], [2, float("nan"), None, {"k": 2, "m": 3}, ("s", None)], [None, 1, "y", {}, {"q": 9}]], schema)
+    entries = F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return frame.select("a", "b", "c", entries.alias("m"), F.concat(F.coalesce("s.p", F.lit("")), F.lit(":"), F.coalesce(F.col("s.q").cast("string"), F.lit(""))).alias("s"))
+
+
+@query("IO1", "IO14", oracle="SELECT r_regionkey AS k, r_name AS name, CASE WHEN r_regionkey > 1 THEN r_regionkey / 2.0 END AS half FROM region")
+def create_dataframe_pandas(spark, sf_dir):
+    """A pandas frame under an explicit schema, by position; its missing values are null."""
+    held = load(spark, sf_dir, "region").select("r_regionkey", "r_name", F.expr("CASE WHEN r_regionkey > 1 THEN r_regionkey / 2.0D END AS h")).toPandas()
+    return create_dataframe(spark, held, "k int, name string, half double")
+
+
+@query("IO1", "E1", oracle="SELECT 1 AS one, 'x' AS x")
+def create_dataframe_one_row(spark, sf_dir):
+    return create_dataframe(spark, [[]]).select(F.lit(1).alias("one"), F.lit("x").alias("x"))
+
+
+@query("IO2", "IO8", oracle="SELECT r_regionkey::VARCHAR AS _c0, r_name AS _c1 FROM region")
+def csv_without_schema(spark, sf_dir):
+    """A folder of CSV files read without a schema: all strings."""
+    path = fresh_path(spark, "csv")
+    write_csv(load(spark, sf_dir, "region").repartition(3, "r_regionkey"), path, header=False)
+    return read_csv(spark, path)
+
+
 @query("IO15", "S6", oracle="SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")
 def eager_cache(spark, sf_dir):
     grouped = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
     return materialize(grouped)
 
 
+@query("IO15", "S6", oracle="SELECT c_nationkey, count(*) AS n, true AS there FROM customer GROUP BY c_nationkey")
+def cache_path(spark, sf_dir):
+    """The folder of eager caches as an option of the session."""
+    folder = fresh_path(spark, "cache-path")
+    spark.conf.set("tessera.cache_path", folder)
+    try:
+        held = materialize(load(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n")))
+    finally:
+        spark.conf.unset("tessera.cache_path")
+    return held.withColumn("there", F.lit(all(folder in f for f in held.inputFiles())))
+
+
 @query("IO12", oracle="SELECT count(*) AS n FROM events WHERE value > 10")
 def count_action(spark, sf_dir):
     n = load(spark, sf_dir, "events").where("value > 10").count()

@@ -75,16 +75,25 @@ def first_last_ignore_nulls(spark, sf_dir):
 
 @query(
     "W6",
-    oracle="""SELECT s_suppkey, row_number() OVER (ORDER BY k ASC NULLS FIRST, s_suppkey)::INTEGER AS up, row_number() OVER (ORDER BY k DESC NULLS LAST, s_suppkey)::INTEGER AS down
-              FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN s_nationkey END AS k FROM supplier)""",
+    oracle="""SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY k ASC NULLS FIRST, c_custkey)::INTEGER AS up, row_number() OVER (PARTITION BY c_nationkey ORDER BY k DESC NULLS LAST, c_custkey)::INTEGER AS down
+              FROM (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS k FROM customer)""",
 )
 def window_nulls_order(spark, sf_dir):
-    s = load(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 != 0, F.col("s_nationkey")).alias("k"))
-    up, down = Window.orderBy(F.asc("k"), "s_suppkey"), Window.orderBy(F.col("k").desc(), "s_suppkey")
-    return s.select("s_suppkey", F.row_number().over(up).alias("up"), F.row_number().over(down).alias("down"))
+    c = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("k"))
+    nation = Window.partitionBy("c_nationkey")
+    up, down = nation.orderBy(F.asc("k"), "c_custkey"), nation.orderBy(F.col("k").desc(), "c_custkey")
+    return c.select("c_custkey", F.row_number().over(up).alias("up"), F.row_number().over(down).alias("down"))
 
 
 @query("W7", "W13", oracle="SELECT l_orderkey, l_linenumber, 1 + (l_linenumber - min(l_linenumber) OVER (PARTITION BY l_orderkey)) AS at, approx_n FROM (SELECT *, count(DISTINCT l_linestatus) OVER (PARTITION BY l_returnflag) AS approx_n FROM lineitem)")
 def window_in_expression(spark, sf_dir):
     order, flag = Window.partitionBy("l_orderkey"), Window.partitionBy("l_returnflag")
     return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (1 + (F.col("l_linenumber") - F.min("l_linenumber").over(order))).alias("at"), F.approx_count_distinct("l_linestatus").over(flag).alias("approx_n"))
+
+
+@query("W15", oracle="""SELECT c_custkey, ntile(4) OVER w::INTEGER AS quarter, percent_rank() OVER w AS share, cume_dist() OVER w AS below, nth_value(c_custkey, 2) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second
+    FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)""")
+def ranks_beyond(spark, sf_dir):
+    w = Window.partitionBy("c_nationkey").orderBy("c_acctbal", "c_custkey")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return load(spark, sf_dir, "customer").select("c_custkey", F.ntile(4).over(w).alias("quarter"), F.percent_rank().over(w).alias("share"), F.cume_dist().over(w).alias("below"), F.nth_value("c_custkey", 2).over(whole).alias("second"))

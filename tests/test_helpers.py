@@ -1,11 +1,13 @@
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.compat import consecutive_id, isin, safe_divide
 from tessera.operators.relational import drop_duplicates, join_keep_order, materialize, union_by_name, with_columns
+from tessera.session import described
 from tessera.sources.infer import common_type, create_dataframe, value_type
 from tessera.sources.tables import read_csv, register, write_csv, write_parquet
 
@@ -26,6 +28,39 @@ def test_inference(spark):
         value_type(object())
 
 
+def test_given_schemas(spark):
+    every = "n void, b boolean, y tinyint, h smallint, i int, l bigint, f float, d double, e date, t timestamp, s string, r struct<s:string,i:int,b:boolean>, a array<string>, m map<string,string>"
+    assert create_dataframe(spark, [], every).dtypes == [tuple(x.split(" ", 1)) for x in every.split(", ")]
+    kind = T.StructType([T.StructField("m", T.MapType(T.StringType(), T.DoubleType())), T.StructField("r", T.StructType([T.StructField("x", T.IntegerType())]))])
+    assert create_dataframe(spark, [[{"a": 1}, {"x": 2}], [None, (3,)], [{"b": float("nan")}, None]], kind).collect() == [({"a": 1.0}, (2,)), (None, (3,)), ({"b": None}, None)]
+    assert create_dataframe(spark, [{"b": 1}], "a int, b int").collect() == [(None, 1)]
+    maps = create_dataframe(spark, [[{"a": 1}], [{"b": 2.5, "c": None}]], ["m"])
+    assert maps.dtypes == [("m", "map<string,double>")] and maps.collect()[1].m == {"b": 2.5, "c": None}
+    frame = pd.DataFrame({"x": [1.0, None], "y": ["a", None]})
+    assert create_dataframe(spark, frame, "k int, v string").collect() == [(1, "a"), (None, None)]
+    with pytest.raises(TypeError):
+        create_dataframe(spark, frame)
+    assert create_dataframe(spark, [], ["a", "b"]).columns == ["a", "b"]
+
+
+def test_duplicates_are_cut_before_the_shuffle(spark):
+    rows = spark.range(100).selectExpr("id % 3 AS k", "id AS v")
+    plan = drop_duplicates(rows, ["k"], [F.desc("v")])._jdf.queryExecution().executedPlan().toString()
+    exchange = plan.index("Exchange hashpartitioning")
+    assert "WindowGroupLimit" in plan[exchange:]
+
+
+def test_call_stack(spark, caplog):
+    with caplog.at_level("INFO", "tessera"), described(spark, "count") as none:
+        pass
+    assert none == [] and not caplog.records
+    spark.conf.set("tessera.call_stack_depth", "1")
+    with caplog.at_level("INFO", "tessera"), described(spark, "count") as frames:
+        assert spark.sparkContext.getLocalProperty("spark.job.description").startswith("count at ")
+    spark.conf.unset("tessera.call_stack_depth")
+    assert len(frames) == 1 and frames[0].endswith("test_call_stack") and "count called at" in caplog.text
+
+
 def test_joins_keep_order(spark):
     a = spark.createDataFrame([(1, "x", 9), (2, "y", 8), (None, "z", 7)], "p int, k string, v int")
     b = spark.createDataFrame([("x", 5), ("x", 6), ("q", 1)], "k string, w int")
