@@ -2,7 +2,8 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns what it
 keeps, with the columns of documents (the last one adds the shard). Outputs are written as
-Parquet and read again as the next stage's documents.
+Parquet and read again as the next stage's documents. Columns beside doc_id, text, lang and source
+may have any names and are carried along; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, mixing, neardup, quality, sharding
-from tessera.llm.common import written
+from tessera.llm.common import packed
+from tessera.sources.shared import fresh_path, scratch
 from tessera.sources.tables import load
 
 #: Shards of the last stage.
@@ -20,9 +22,9 @@ SHARDS = 16
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier finds neither poor nor toxic."""
-    model = quality.trained(docs, load(spark, sf_dir, "labels"))
-    rated = quality.rated(docs, model, F.col("source"), F.col("lang"))
-    return quality.accepted(rated).select(*docs.columns)
+    pack = packed(docs, doc_id="doc_id", text="text", lang="lang", source="source")
+    model = quality.trained(pack.frame, load(spark, sf_dir, "labels"))
+    return pack.restored(quality.accepted(quality.rated(pack.frame, model, F.col("source"), F.col("lang"))))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,14 +39,15 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample with raked shares of sources, languages and topics."""
-    return mixing.mixed_sample(docs).select(*docs.columns)
+    pack = packed(docs, doc_id="doc_id", text="text", lang="lang", source="source")
+    return pack.restored(mixing.mixed_sample(pack.frame))
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its virtual slot and shard, by nearly equal bytes."""
+    """Every document with its virtual slot and shard, by nearly equal bytes and a stored map."""
     slot = sharding.virtual_slot(F.col("doc_id"), F.col("text")).alias("virtual_slot")
     slots = sharding.slot_bytes(docs.select(slot, sharding.record_bytes(F.col("text")).alias("size")))
-    return sharding.sharded(docs, sharding.first_map(slots, SHARDS)).select(*docs.columns, "virtual_slot", "shard")
+    return sharding.sharded(docs, sharding.kept_map(slots, SHARDS, fresh_path(spark, "pipeline-map")))
 
 
 STAGES = [
@@ -60,8 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each on what its predecessor wrote."""
+    """All stages over documents, each on what its predecessor wrote; a stage's own intermediates go when its output is there."""
     docs = load(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{i}")
+        path = fresh_path(spark, f"pipeline-{i}")
+        with scratch():
+            kept = stage(spark, docs, sf_dir)
+            kept.write.option("compression", "zstd").parquet(path)
+            schema = kept.schema
+        docs = spark.read.schema(schema).parquet(path)
     return docs

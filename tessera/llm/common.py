@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import fresh_path
+from tessera.sources.shared import fresh_path, removed
 
 #: Bytes of text that a Python worker expands into numpy arrays at a time.
 SLICE_BYTES = 1 << 20
@@ -22,7 +22,8 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, with no lineage behind it.
 
-    The files are kept there, so later stages read them again when an executor is lost.
+    Later stages read the files again when an executor is lost, so they stay until the ``scratch``
+    around the query ends.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
@@ -30,6 +31,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed_table(table: DataFrame) -> None:
+    """Delete the files of a ``written`` table that nothing will read again."""
+    for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+        removed(table.sparkSession, folder)
+
+
 @dataclass
 class Packed:
     """Rows with the columns an operator reads under its own names, and all others in the struct ``rest``, where their names can't clash."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import removed_table, written
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -24,7 +24,9 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         lower = labels.join(around, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("component").alias("further"))
         then = lower.join(jump, "new").select("node", "old", F.least("new", "further").alias("component"))
-        step = written(then, f"{name}-{turn}")
+        step, held = written(then, f"{name}-{turn}"), labels
+        removed_table(held)  # its successor is a table of its own
         labels = step.select("node", "component")
         if step.where("old <> component").isEmpty():
+            removed_table(both)
             return labels

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import mixed, slices, written
-from tessera.sources.shared import fresh_path
+from tessera.sources.shared import fresh_path, undo_later
 
 #: Bytes of a repeated string, of an anchor, of a piece of a long text, and of the segments a task orders at a time.
 LENGTH, GRAM, PIECE, GROUP_BYTES = 200, 64, 1 << 19, 1 << 20
@@ -160,6 +160,7 @@ def _stored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     name = path.rpartition("/")[2].replace("-", "_")
     spark.conf.set("spark.sql.sources.bucketing.maxBuckets", str(max(100_000, buckets)))
     rows.repartition(buckets, "row").write.bucketBy(buckets, "row").option("path", path).option("compression", "zstd").saveAsTable(name)
+    undo_later(lambda: spark.sql(f"DROP TABLE IF EXISTS {name}"))
     return spark.table(name)
 
 

@@ -1,6 +1,8 @@
+import os
 import random
 
 import corpus_pipeline
+from tessera.sources.shared import shared_folder
 from tests.llm.test_neardup import classes
 
 
@@ -33,5 +35,23 @@ def test_stages(spark, tmp_path):
     assert set(ids[2]) == set(ids[1]) - set(leaks)
     assert set(ids[3]) <= set(ids[2]) and len(ids[3]) > 0.6 * len(ids[2])
     assert sorted(ids[4], key=str) == sorted(ids[3], key=str) and {r.shard for r in seen[4]} == set(range(16))
+    before = len(os.listdir(shared_folder(spark)))
     whole = corpus_pipeline.run(spark, d).collect()
+    assert len(os.listdir(shared_folder(spark))) == before + 5
     assert sorted((r.doc_id or -1, r.shard) for r in whole) == sorted((r.doc_id or -1, r.shard) for r in seen[4])
+
+
+def test_clashing_columns_and_empty_tables(spark, tmp_path):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = ["p_poor", "weight", "topic", "name", "component", "rest", "id", "key", "shard_", "host", "n", "probability"]
+    rows = [(i, f"some text number {i} with several words in it", "en", "s", 1) for i in range(30)]
+    for name, data in (("few", rows), ("none", [])):
+        d = str(tmp_path / name)
+        docs = spark.createDataFrame(data, kind).selectExpr("*", *[f"'{c}' AS `{c}`" for c in extra])
+        docs.write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, d)
+        assert got.columns == [*docs.columns, "virtual_slot", "shard"]
+        got = got.collect()
+        assert all(r[c] == c for r in got for c in extra) and (len(got) > 15 if data else got == [])
