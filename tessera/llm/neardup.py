@@ -17,7 +17,9 @@ No pairs of a group are emitted:
 * equal word sequences are one node from the start, and so are all texts without words;
 * every node is first held against the smallest node of one of its groups, and links that
   verify join components;
-* a group whose nodes lie in several components is settled in blocks: each pair to settle has a
+* in TURNS rounds, one node of each component in a group is held against one of the group's largest
+  component, signatures first;
+* a group whose nodes still lie in several components is settled in blocks: each pair to settle has a
   node outside of the group's largest component, so those nodes (few, as a rule) are dealt to
   blocks and meet all nodes of the group, dealt to blocks of about BLOCK nodes or SHINGLES
   shingles. A task that meets two blocks first looks at sizes and signatures alone: it skips
@@ -53,7 +55,9 @@ from tessera.llm.components import components
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 30, 5
 
 #: Nodes and shingles of a block, pairs verified at a time, and standard deviations below the similarity at which a signature rules a pair out.
-BLOCK, SHINGLES, AT_ONCE, SURE = 128, 200_000, 2000, 5.5
+BLOCK, SHINGLES, AT_ONCE, SURE = 512, 400_000, 2000, 5.5
+#: Rounds in which parts of a group are held against its largest part by one node each.
+TURNS = 1
 
 #: Bits of a shingle's hash; the rest of a 64-bit key holds the row in its slice.
 _BITS = 44
@@ -317,12 +321,43 @@ def _settled(rows: DataFrame, texts: DataFrame, similarity: float, words: int, c
     return in_order(named).mapInArrow(_by_group(lambda block: _joining(block, similarity, words, counted)), "a long, b long")
 
 
-def _unsettled(member: DataFrame, starred: DataFrame, first: DataFrame, nodes: DataFrame) -> DataFrame:
-    """What ``_settled`` reads, of all groups (key, node, n) whose nodes the links ``first`` leave in several components."""
-    own = components(first, "near-first")
-    placed = written(member.select("key", "node", "n").join(own, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part")), "near-placed")
-    sizes = placed.groupBy("key", "part").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
-    groups = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.sum("w").alias("w"), F.max(F.struct("m", "part", "w")).alias("top")).where("parts > 1")
+def _placed(member: DataFrame, links: DataFrame) -> DataFrame:
+    """key, node, n, part (component so far) of every node of a group."""
+    own = components(links, "near-parts")
+    joined = member.select("key", "node", "n").join(own, "node", "left")
+    return written(joined.select("key", "node", "n", F.coalesce("component", "node").alias("part")), "near-placed")
+
+
+def _parts(placed: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """key, part, m, w (nodes and shingles), node (one of them, by hash), and key, m, w, top (the largest part) of the groups that have several parts."""
+    sizes = placed.groupBy("key", "part").agg(F.count("*").alias("m"), F.sum("n").alias("w"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
+    groups = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.sum("w").alias("w"), F.max(F.struct("m", "part", "w", "node")).alias("top"))
+    return sizes, groups.where("parts > 1").drop("parts")
+
+
+def _represented(placed: DataFrame, turn: int, nodes: DataFrame, texts: DataFrame, similarity: float, words: int, counted: bool) -> DataFrame:
+    """Links between one node of each part of a group and one of its largest part: a pair a part, looked at by signatures first."""
+    sizes, groups = _parts(placed, turn)
+    met = sizes.join(groups.select("key", F.col("top.part").alias("most"), F.col("top.node").alias("other")), "key").where("part <> most")
+    pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
+                spread = SURE * np.sqrt(similarity * (1 - similarity) / x.shape[1])
+                keep = (np.minimum(n_a, n_b) >= (similarity - 1e-9) * np.maximum(n_a, n_b)) & ((x == y).mean(1) >= similarity - spread)
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    return written(_verified(written(likely, "near-pairs"), texts, similarity, words, counted), "near-represented")
+
+
+def _unsettled(placed: DataFrame, starred: DataFrame, nodes: DataFrame) -> DataFrame:
+    """What ``_settled`` reads, of all groups whose nodes lie in several parts."""
+    _, groups = _parts(placed, 0)
     blocks = lambda m, w: F.greatest(F.ceil(m / F.lit(BLOCK)), F.ceil(w / F.lit(SHINGLES)), F.lit(1)).cast("int")
     told = groups.select("key", F.col("top.part").alias("most"), blocks(F.col("m") - F.col("top.m"), F.col("w") - F.col("top.w")).alias("lows"), blocks(F.col("m"), F.col("w")).alias("highs"))
     dealt = placed.join(told, "key").withColumn("apart", F.col("part") != F.col("most"))
@@ -355,8 +390,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     needed = member.select("node").distinct().join(nodes.select("node", "name"), "node")
     texts = written(_texts(read).join(needed, "name").dropDuplicates(["node"]).select("node", "text"), "near-texts")
     first = written(_verified(starred, texts, similarity, words, counted), "near-first")
-    rest = _settled(_unsettled(member, starred, first, nodes), texts, similarity, words, counted)
-    links = written(first.unionByName(rest), "near-links")
+    links = first
+    for turn in range(TURNS):
+        links = links.unionByName(_represented(_placed(member, links), turn, nodes, texts, similarity, words, counted))
+    rest = _settled(_unsettled(_placed(member, links), starred, nodes), texts, similarity, words, counted)
+    links = written(links.unionByName(rest), "near-links")
 
     parts = components(links, "near")
     labelled = nodes.select("node", "name", "first_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
