@@ -13,9 +13,9 @@ own vector, and bounds every range from the rows of maxima alone. It first goes
 ranges of the highest bounds; the k best scores from there raise its threshold, and only ranges
 whose bound still reaches that are visited then. What goes to a range are the queries that chose
 it, in blocks of queries from neighbouring ranges, and a range's vectors go only to blocks that
-chose it. A range returns only scores that reach the threshold. Rows of maxima are met in groups
-of GROUP, blocks of queries hold the queries of at most 32 ranges, and a range holds about RANGE
-vectors, however the table is partitioned.
+chose it. A range returns only scores that reach the threshold. Bounds are looked at for GROUP rows
+of maxima and BLOCKS blocks of queries at a time, a block holds the queries of at most 32 ranges,
+and a range holds about RANGE vectors, however the table is partitioned.
 
 Pivots (PIVOTS vectors, chosen by hash) only order the vectors: a vector's cell is its two
 nearest pivots, small cells share a range and large ones are dealt to several, so a vector that
@@ -41,8 +41,8 @@ from tessera.llm.common import written
 
 #: Vectors of a block and of a range, vectors that fix the order, and blocks scored between two looks at the bounds.
 BLOCK, RANGE, PIVOTS, STEP = 128, 2048, 64, 4
-#: Ranges a query visits first, and rows of maxima that a task looks at together.
-PROBES, GROUP = 2, 1024
+#: Ranges a query visits first, and rows of maxima and blocks of queries that a task looks at together.
+PROBES, GROUP, BLOCKS = 2, 8192, 16
 
 _FLOAT_EXACT = 2**52
 
@@ -182,10 +182,9 @@ def _indexed(vectors: DataFrame, every: int, k: int) -> tuple[DataFrame, int]:
 def _chosen(asked: DataFrame, maxima: DataFrame, n_groups: int, first: int, last: int | None) -> DataFrame:
     """range_no, block, id, v, at_least: the ranges that may hold what reaches a query's threshold, from place ``first`` to ``last`` by falling bound in each group of maxima."""
     groups = F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))
-    left = asked.select("block", groups.alias("part"), "id", "v", "at_least")
-    blocks = asked.select("block").distinct()
-    right = maxima.join(blocks.withColumn("part", groups), "part")
-    right = right.select(F.col("block").alias("for_block"), F.col("part").alias("of_part"), "range_no", "most", "least")
+    left = asked.select(F.floor(F.col("block") / BLOCKS).alias("wide"), groups.alias("part"), "block", "id", "v", "at_least")
+    met = left.select("wide", "part").distinct()
+    right = maxima.join(met, "part").select(F.col("wide").alias("for_wide"), F.col("part").alias("of_part"), "range_no", "most", "least")
     kind = "block long, range_no long, id long, v array<long>, at_least long"
 
     def bounded(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -197,17 +196,17 @@ def _chosen(asked: DataFrame, maxima: DataFrame, n_groups: int, first: int, last
         width = int(max(np.diff(x.offsets.to_numpy()).max() for x in (q, most)))
         most, least, at_least, no = _matrix(most, width), _matrix(least, width), left["at_least"].to_numpy(), right["range_no"].to_numpy()
         out = []
-        for i in range(0, left.num_rows, 1024):  # rows of the matrix of bounds at a time
-            own = _matrix(q.slice(i, 1024), width)
+        for i in range(0, left.num_rows, 256):  # rows of the matrix of bounds at a time
+            own = _matrix(q.slice(i, 256), width)
             bound = _product(np.maximum(own, 0), most) + _product(np.minimum(own, 0), least)
             order = np.argsort(-bound, 1, kind="stable")[:, first:last]
-            row, place = np.nonzero(np.take_along_axis(bound, order, 1) >= at_least[i : i + 1024, None])
+            row, place = np.nonzero(np.take_along_axis(bound, order, 1) >= at_least[i : i + 256, None])
             out.append(np.stack([row + i, no[order[row, place]]]))
         row, range_no = np.concatenate(out, 1)
         took = left.take(pa.array(row))
         return pa.table([took["block"], pa.array(range_no), took["id"], took["v"], took["at_least"]], names)
 
-    return left.groupBy("block", "part").cogroup(right.groupBy("for_block", "of_part")).applyInArrow(bounded, kind)
+    return left.groupBy("wide", "part").cogroup(right.groupBy("for_wide", "of_part")).applyInArrow(bounded, kind)
 
 
 def _searched(chosen: DataFrame, index: DataFrame, k: int, name: str) -> DataFrame:

@@ -35,6 +35,7 @@ def test_query_against_brute_force(spark, tmp_path, monkeypatch):
 def test_repeated_ids(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(topk, "RANGE", 32)
     monkeypatch.setattr(topk, "GROUP", 3)
+    monkeypatch.setattr(topk, "BLOCKS", 2)
     rng = np.random.default_rng(4)
     rows = [(i % 90, rng.integers(-3, 4, 5).astype(float).tolist()) for i in range(300)] + [(40, [1.0] * 5)] * 100 + [(41, [1.0] * 5)] * 100
     table(spark, tmp_path, rows)
