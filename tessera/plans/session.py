@@ -140,7 +140,7 @@ def vectorised_function(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", taxed("p_retailprice", "p_size").alias("taxed"))
 
 
-@query("X3", oracle="SELECT s_nationkey, round(sum(s_acctbal * s_acctbal) / count(*), 4) AS mean_square FROM supplier GROUP BY s_nationkey")
+@query("X3", oracle="SELECT s_nationkey, sum(cents * cents)::BIGINT AS squares, count(*) AS n FROM (SELECT s_nationkey, round(s_acctbal * 100)::BIGINT AS cents FROM supplier) GROUP BY s_nationkey")
 def user_aggregate(spark, sf_dir):
     """A user's aggregate in two steps: partial sums of each task in Arrow batches, then Spark's own sums, so that a large group needs no task of its own."""
 
@@ -150,8 +150,9 @@ def user_aggregate(spark, sf_dir):
             summed = squared.group_by("k").aggregate([("n", "sum"), ("t", "sum")])
             yield from summed.select(["k", "n_sum", "t_sum"]).rename_columns(["k", "n", "t"]).to_batches()
 
-    parts = load(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("v")).mapInArrow(partial, "k int, n long, t double")
-    return parts.groupBy(F.col("k").alias("s_nationkey")).agg(F.round(F.sum("t") / F.sum("n"), 4).alias("mean_square"))
+    cents = F.round(F.col("s_acctbal") * 100).cast("long").alias("v")
+    parts = load(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), cents).mapInArrow(partial, "k int, n long, t long")
+    return parts.groupBy(F.col("k").alias("s_nationkey")).agg(F.sum("t").alias("squares"), F.sum("n").alias("n"))
 
 
 @query("X3", oracle="SELECT n_nationkey, unnest(regexp_extract_all(n_name, '.')) AS letter FROM nation")
