@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
@@ -78,6 +79,42 @@ def hashed_strings(values: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(v) for v in values.cast(pa.binary()).to_pylist()), np.uint64, len(values))
 
 
+_BASE = 0x9E3779B97F4A7C15
+#: Bytes of words that are hashed together.
+_RUN = 1 << 18
+
+
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each byte, and the powers of _BASE and of its inverse."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        power = np.full(_RUN + 1, base, np.uint64)
+        power[0] = 1
+        out.append(np.cumprod(power))
+    return mixed(np.arange(1, 257, dtype=np.uint64)), *out
+
+
+def hashed_words(values: pa.Array) -> np.ndarray:
+    """64-bit hashes of the values of a string array without nulls, equal in every process; for words, all of them at once from prefix sums of a polynomial in their bytes."""
+    values = values.cast(pa.large_binary())
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    data = np.frombuffer(values.buffers()[2], np.uint8) if values.buffers()[2] else np.empty(0, np.uint8)
+    byte, up, down = _powers()
+    out, at = np.empty(len(values), np.uint64), 0
+    while at < len(values):
+        end = int(np.searchsorted(offsets, offsets[at] + _RUN, "right")) - 1
+        if end <= at:  # one longer than a run
+            out[at], at = hashed_strings(values.slice(at, 1))[0], at + 1
+            continue
+        own = byte[data[offsets[at] : offsets[end]]]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * up[: len(own)])])
+        first, last = offsets[at:end] - offsets[at], offsets[at + 1 : end + 1] - offsets[at]
+        out[at:end] = mixed((sums[last] - sums[first]) * down[first] + mixed((last - first).astype(np.uint64) + np.uint64(1)))
+        at = end
+    return out
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of the batch's rows with at most ``most`` bytes in ``column``, at least one row each."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

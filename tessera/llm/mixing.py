@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import hashed_strings, mixed, packed, slices, written
+from tessera.llm.common import hashed_words, packed, slices, written
 
 #: Topics, share of the tokens kept, and the power of the shares.
 TOPICS, KEPT, POWER = 8, 0.8, 0.7
@@ -72,10 +72,10 @@ def profiled(frame: DataFrame) -> DataFrame:
                 row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
                 words = lists.flatten().dictionary_encode()
                 code = words.indices.to_numpy().astype(np.int64)
-                real = np.array([bool(w) for w in words.dictionary.to_pylist()] or [False])[code] if len(code) else np.zeros(0, bool)
+                real = pc.greater(pc.binary_length(words.dictionary), 0).to_numpy(zero_copy_only=False)[code] if len(code) else np.zeros(0, bool)
                 row, code = row[real], code[real]
                 n = np.bincount(row, minlength=part.num_rows)
-                bucket = (mixed(hashed_strings(words.dictionary)) % np.uint64(DIMENSIONS)).astype(np.int64)
+                bucket = (hashed_words(words.dictionary) % np.uint64(DIMENSIONS)).astype(np.int64)
                 distinct = np.unique(row * max(1, len(bucket)) + code)
                 cell = distinct // max(1, len(bucket)) * DIMENSIONS + bucket[distinct % max(1, len(bucket))] if len(distinct) else distinct
                 seen = np.bincount(cell, minlength=part.num_rows * DIMENSIONS).reshape(-1, DIMENSIONS).astype(float)
