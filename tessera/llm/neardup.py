@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import hashed_strings, mixed, packed, slices, written
+from tessera.llm.common import hashed_words, mixed, packed, slices, written
 from tessera.llm.components import components
 
 #: Words of a shingle, similarity of a link, bands, coordinates of a band.
@@ -80,7 +80,7 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     length = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     if not len(flat):
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
-    word = np.concatenate([mixed(hashed_strings(flat.dictionary))[flat.indices.to_numpy()], np.zeros(words, np.uint64)])
+    word = np.concatenate([hashed_words(flat.dictionary)[flat.indices.to_numpy()], np.zeros(words, np.uint64)])
     n = np.where(length >= words, length - words + 1, np.minimum(length, 1))
     row = np.repeat(np.arange(len(n)), n)
     first = np.repeat(np.cumsum(length) - length, n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -225,7 +225,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "x", 1 << 20):
+            for part in (piece for run in slices(batch, "x", 1 << 20) for piece in slices(run, "y", 1 << 20)):
                 n = part.num_rows
                 row, element, count = shingles(pa.concat_arrays([part.column("x"), part.column("y")]), words)
                 count = count if counted else np.ones_like(count)
