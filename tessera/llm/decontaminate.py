@@ -4,7 +4,8 @@ A document is contaminated by an item when some WINDOW characters of the item oc
 within EDITS edits. Two strings of that kind share at least WINDOW + 1 - Q * (EDITS + 1)
 character q-grams, and all of them lie on diagonals at most EDITS apart. So shared q-grams are
 counted in overlapping diagonal bands; regions whose count meets that bound are retained and
-verified by banded alignment, which is exact.
+verified by banded alignment, which is exact. This goes by rising number of edits, each with its own
+bound, and a pair of a text and an item leaves when it has a match.
 
 Texts are compared in lower case with every run of characters other than letters and digits
 as one space. Items shorter than WINDOW are windows as a whole, with edits in proportion;
@@ -146,7 +147,6 @@ class Items:
         self.length = np.diff(self.first)
         self.windows = np.minimum(self.length, window)
         self.allowed = np.minimum(edits, self.windows * edits // window)
-        self.bound = np.maximum(1, self.windows + 1 - q * (self.allowed + 1))
         self.tiny = {x: i for i, x in enumerate(texts) if 0 < len(x) < q}
         grams = _grams(self.codes, q)
         item = np.repeat(np.arange(len(texts), dtype=np.int32), self.length)[: len(grams)]
@@ -238,16 +238,22 @@ class Items:
         order = np.lexsort((place, key))
         key, place, at = key[order], place[order], at[order]
         items = max(1, len(self.length))
-        if len(key):
+        for edits in range(1, self.edits + 1):  # pairs with a match of fewer edits need no look at those with more
             item = key // bands % items
-            end = np.arange(len(key)) + self.bound[item] - 1
+            open_ = self.allowed[item] >= edits
+            if edits > 1:
+                open_ &= ~np.isin(key // bands, settled[-1][0])
+            key, place, at, item = key[open_], place[open_], at[open_], item[open_]
+            if not len(key):
+                break
+            end = np.arange(len(key)) + np.maximum(1, self.windows[item] + 1 - self.q * (edits + 1)) - 1
             inside = end < len(key)
             end = np.minimum(end, len(key) - 1)
-            s = np.flatnonzero(inside & (key[end] == key) & (place[end] - place <= self.windows[item] - self.q + self.allowed[item]))
+            s = np.flatnonzero(inside & (key[end] == key) & (place[end] - place <= self.windows[item] - self.q + edits))
             # every window start that can hold a retained group of hits
-            lo = np.maximum(0, np.minimum(at[s], at[end[s]]) + self.q - self.windows[item[s]] - self.edits)
-            hi = np.minimum(self.length[item[s]] - self.windows[item[s]], np.maximum(at[s], at[end[s]]) + self.edits)
-            settled.append(self._tried(codes, first, *_merged(key[s], lo, hi), bands, shift))
+            lo = np.maximum(0, np.minimum(at[s], at[end[s]]) + self.q - self.windows[item[s]] - edits)
+            hi = np.minimum(self.length[item[s]] - self.windows[item[s]], np.maximum(at[s], at[end[s]]) + edits)
+            settled.append(self._tried(codes, first, *_merged(key[s], lo, hi), bands, shift, edits))
         pair, edits, where = map(np.concatenate, zip(*settled, strict=True))
         return pair // items, pair % items, edits, where
 
@@ -265,8 +271,8 @@ class Items:
         pair, at = np.unique(pair[order], return_index=True)
         return [(pair, np.zeros(len(pair), np.int64), where[order][at])]
 
-    def _tried(self, codes: np.ndarray, first: np.ndarray, key: np.ndarray, lo: np.ndarray, hi: np.ndarray, bands: int, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pair, edits and place of the windows lo to hi of each key that verify."""
+    def _tried(self, codes: np.ndarray, first: np.ndarray, key: np.ndarray, lo: np.ndarray, hi: np.ndarray, bands: int, shift: int, allowed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pair, edits and place of the windows lo to hi of each key that verify with ``allowed`` edits."""
         ends = np.cumsum(hi - lo + 1)
         out = [np.empty((3, 0), np.int64)]
         for i in range(0, int(ends[-1]) if len(ends) else 0, _ALIGNED_AT_ONCE):
@@ -275,7 +281,7 @@ class Items:
             start = hi[of] + 1 - (ends[of] - number)
             pair = key[of] // bands
             edits, where = self._aligned(codes, first, pair, start, key[of] % bands * _BAND - shift)
-            good = edits <= self.allowed[pair % len(self.length)]
+            good = edits <= allowed
             out.append(np.stack([pair[good], edits[good], where[good]]))
         return tuple(np.concatenate(out, 1))
 
