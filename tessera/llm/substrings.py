@@ -14,7 +14,7 @@ segment. Only anchors, hashes and places are shuffled at first; three cases foll
 
 * an anchor that occurs once: nothing in its segment repeats;
 * equal segments: all their strings repeat; one of them stands for all from here on, and a task
-  collapses equal segments before they are shuffled at all;
+  collapses equal segments before they are shuffled at all, over all that it reads;
 * unequal segments of one anchor: their bytes are fetched, their suffixes ordered, and the
   factors decide. Strings without an equal by hash are left out of the sort.
   The strings of an anchor with more than WIDE segments are dealt out by hash, and equal ones
@@ -41,8 +41,8 @@ from tessera.sources.shared import fresh_path, undo_later
 
 #: Bytes of a repeated string, of an anchor, of a piece of a long text, and of the segments a task orders at a time.
 LENGTH, GRAM, PIECE, GROUP_BYTES = 200, 64, 1 << 19, 1 << 20
-#: Bytes of text in a bucket of the stored texts.
-BUCKET_BYTES = 256 << 20
+#: Bytes of text in a bucket of the stored texts, and bits of a place in a task's table of segments.
+BUCKET_BYTES, SLOT_BITS = 256 << 20, 18
 #: Segments of an anchor beyond which its strings are dealt out by hash instead.
 WIDE = 20_000
 #: Strings that are laid out as rows of bytes and sorted at a time (or those equal by hash).
@@ -164,18 +164,41 @@ def _stored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return spark.table(name)
 
 
+class Met:
+    """The segments (anchor and content) that a task has met, in a table of 2**SLOT_BITS places.
+
+    A segment that came twice keeps its place, one that came once gives way to others, so what
+    recurs in a task stays known in bounded memory, whatever else it reads.
+    """
+
+    def __init__(self) -> None:
+        self.anchor, self.content, self.times = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.uint8)
+
+    def add(self, anchor: np.ndarray, content: np.ndarray, copies: np.ndarray) -> np.ndarray:
+        """Which of these distinct segments had come twice before."""
+        slot = (mixed(anchor ^ content) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        known = (self.anchor[slot] == anchor) & (self.content[slot] == content) & (self.times[slot] > 0)
+        twice = known & (self.times[slot] > 1)
+        free = known | (self.times[slot] < 2)
+        to = slot[free]
+        self.times[to] = np.minimum(np.where(known, self.times[slot], 0)[free] + np.minimum(copies[free], 2), 2)
+        self.anchor[to], self.content[to] = anchor[free], content[free]
+        return twice
+
+
 _SEGMENT = "anchor long, content long, row long, start long, n long, copies int"
 
 
 def _segmented(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Segments, equal ones of a slice as one with its copies; those copies themselves as marks (copies 0)."""
+    """Segments, equal ones of a slice as one with its copies; those copies themselves as marks (copies 0), and so all that a task has met twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = Met()
         for batch in batches:
             for part in slices(batch, "data", PIECE):
-                yield from pieces(part)
+                yield from pieces(part, met)
 
-    def pieces(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def pieces(part: pa.RecordBatch, met: Met) -> Iterator[pa.RecordBatch]:
         row = part.column("row").to_numpy()
         data = part.column("data").cast(pa.large_binary())
         offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
@@ -183,19 +206,23 @@ def _segmented(texts: DataFrame, length: int, gram: int) -> DataFrame:
         offsets = offsets - offsets[0]
         step = PIECE - length + 1
         if len(whole) <= PIECE:
-            yield found(row, np.zeros(len(row), np.int64), whole, offsets[:-1], offsets[1:])
+            yield found(met, row, np.zeros(len(row), np.int64), whole, offsets[:-1], offsets[1:])
         else:  # a slice over PIECE is one long text: pieces share length - 1 bytes, so each string is in one
             for at in range(0, max(1, len(whole) - length + 1), step):
                 piece = whole[at : at + PIECE]
-                yield found(row, np.array([at]), piece, np.array([0]), np.array([len(piece)]))
+                yield found(met, row, np.array([at]), piece, np.array([0]), np.array([len(piece)]))
 
-    def found(row: np.ndarray, shift: np.ndarray, data: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    def found(met: Met, row: np.ndarray, shift: np.ndarray, data: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
         text, start, n, anchor, content = segments(data, first, last, length, gram)
         _, head, of, copies = np.unique(np.stack([anchor, content], 1), axis=0, return_index=True, return_inverse=True, return_counts=True) if len(text) else (0, text, text, text)
         start = start - first[text] + shift[text]
         row = row[text]
         copies = copies[of.ravel()] if len(text) else text
-        copies = np.where(np.isin(np.arange(len(text)), head), copies, 0)
+        # copies of a segment count at its first place, and nowhere if two of an earlier slice stand for it
+        first_of = np.zeros(len(text), bool)
+        if len(text):
+            first_of[head[~met.add(anchor[head], content[head], copies[head])]] = True
+        copies = np.where(first_of, copies, 0)
         # marks of segments that follow each other become one
         mark = copies == 0
         after = np.concatenate([[False], mark[1:] & mark[:-1] & (row[1:] == row[:-1]) & (start[1:] == start[:-1] + n[:-1])]) if len(row) else mark

@@ -43,6 +43,7 @@ def test_ranges_against_brute_force(spark, keep, wide, monkeypatch):
     monkeypatch.setattr(ss, "WIDE", wide)
     monkeypatch.setattr(ss, "GROUP_BYTES", 2000)
     monkeypatch.setattr(ss, "PIECE", 1500)
+    monkeypatch.setattr(ss, "SLOT_BITS", 6 if wide > 2 else 18)
     texts = corpus(3)
     docs = spark.createDataFrame([(i, t.decode(), 1) for i, t in enumerate(texts)], "doc_id long, text string, n int").coalesce(1)
     got = {r.doc_id: r for r in ss.without_repeats(docs, length=40, keep=keep).collect()}
@@ -107,6 +108,17 @@ def test_a_repeated_byte_makes_few_marks(spark):
     assert [tuple(s) for s in got[1].spans] == [(0, 2_000_000)] and bytes(got[2].kept) == b"x"
 
 
+def test_a_task_sends_few_copies(spark):
+    line = "".join(random.Random(2).choices("abcdefgh ", k=900))
+    docs = spark.createDataFrame([(i, line + f" {i}" * 60) for i in range(3000)], "doc_id long, text string").coalesce(1)
+    found = ss._segmented(docs.selectExpr("doc_id AS row", "CAST(text AS binary) AS data"), 200, 64)
+    counts = found.where("copies > 0").groupBy("anchor", "content").count().orderBy("count", ascending=False).first()
+    assert counts["count"] <= 2
+    for keep, left in (("none", 0), ("first", 1)):
+        got = ss.without_repeats(docs, keep=keep).collect()
+        assert sum(line in bytes(r.kept).decode() for r in got) == left
+
+
 def test_rows_resolve_alike_in_any_batches(spark):
     rng = random.Random(6)
     rows = sorted((a, c, r, r, 5, k) for a, c, r, k in {(rng.randint(1, 9), rng.randint(1, 4), r, rng.choice([1, 1, 2])) for r in range(60)})
