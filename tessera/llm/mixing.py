@@ -12,8 +12,9 @@ the mix, 0 makes it even), so rare sources, languages and topics gain; ``wanted`
 by name instead, and what it doesn't name there goes. ``kept`` of all tokens are wanted together,
 or all that can stay if that is less. A source, language or topic can't give more tokens than it
 has: what its share asks beyond that goes to the others in proportion. If the three marginals
-still rule each other out, the nearest of ROUNDS fits is taken, with a warning that names the
-distance left.
+still rule each other out, all three step back together towards the corpus's own mix, which can
+always be met, a part of 1 / STEPS at a time until a fit meets them; a warning names how far the way
+went.
 
 Factors are found for all cells at once: the row of a source holds the tokens of its (language,
 topic) pairs, its factor follows exactly from the factors of the pairs, and a round is one
@@ -54,8 +55,10 @@ from tessera.llm.common import hashed_words, packed, slices, written
 TOPICS, KEPT, POWER = 8, 0.8, 0.7
 #: Buckets of a profile, slots of language means, profiles that centres begin from, moves of the centres, and the unit of profiles.
 DIMENSIONS, MEANS, SEEDS, MOVES, UNIT = 64, 256, 512, 3, 4096
-#: Largest distance from a marginal, in parts of it, and rounds at most.
-TOLERANCE, ROUNDS = 1e-3, 100
+#: Largest distance from a marginal, in parts of it, rounds of a fit at most, and steps back to the corpus's own mix.
+TOLERANCE, ROUNDS, STEPS = 5e-3, 20, 20
+#: How far a round goes, in parts of what would meet the marginals alone.
+STRIDE = 1.3
 
 ADDED = ("topic", "n_tokens", "weight", "probability")
 _FAR, _NEAR = 1e30, 1e-30
@@ -231,37 +234,44 @@ def calibrated(cells: DataFrame, kept: float = KEPT, power: float = POWER, wante
     raw = share("source") if names else F.pow("own", F.lit(power))
     rows = written(rows.withColumn("asked", F.when(F.col("own") > 0, raw).otherwise(0.0)), "mix-sources")
     goal = min(kept * whole, total)
-    targets = [(of, _filled(held, ask, goal)) for of, held, ask in sides]
-    rows = rows.withColumn("target", F.least("own", F.col("asked") * F.lit(_level(rows, goal))))
-
-    factors = [np.ones(len(target)) for _, target in targets]
-    best = float("inf"), factors
-    for turn in range(ROUNDS if goal else 0):
-        given = _doubles(factors[0][of_lang] * factors[1][of_topic])
-        told = lambda f: F.transform("held", lambda x: F.struct(x["i"].alias("i"), (x["t"] * _chance(f, F.get(given, x["i"]))).alias("m"), F.when(f * F.get(given, x["i"]) >= 1, x["t"]).otherwise(0.0).alias("c")))
-        met, cut = np.zeros(len(pairs)), np.zeros(len(pairs))
-        for r in rows.select(F.inline(_let(_factor(given), told))).groupBy("i").agg(F.sum("m").alias("m"), F.sum("c").alias("c")).collect():
-            met[r.i], cut[r.i] = r.m, r.c
-        off = max(float((np.abs(np.bincount(of, met, len(target)) - target) / np.maximum(target, 1e-9 * goal)).max()) for of, target in targets)
-        if off < best[0]:
-            best = off, [f.copy() for f in factors]
-        if off < TOLERANCE:
-            break
-        if turn == ROUNDS - 1:
-            warnings.warn(f"the marginals rule each other out: after {ROUNDS} rounds one is missed by {best[0]:.1%}", stacklevel=2)
-            break
-        free = met - cut
-        for _ in range(20):  # the two small marginals, on the driver's table of pairs
-            for side, (of, target) in enumerate(targets):
-                fixed, open_ = np.bincount(of, cut, len(target)), np.bincount(of, free, len(target))
-                scale = np.where(target > fixed, np.divide(target - fixed, open_, out=np.ones_like(target), where=open_ > 0), np.divide(target, fixed + open_, out=np.ones_like(target), where=fixed + open_ > 0))
-                scale = np.clip(scale, 0.1, 10.0)
-                new = np.clip(factors[side] * scale, _NEAR, _FAR)
-                free *= (new / factors[side])[of]
-                factors[side] = new
-    given = _doubles(best[1][0][of_lang] * best[1][1][of_topic])
+    own = goal / total if total else 0.0  # what every cell would be kept with for the corpus's own mix
+    filled = [(of, held, _filled(held, ask, goal)) for of, held, ask in sides]
+    wanted_rows = rows.withColumn("filled", F.least("own", F.col("asked") * F.lit(_level(rows, goal))))
+
+    def fit(way: float) -> tuple[DataFrame, list[np.ndarray]] | None:
+        """The rows with their targets and the factors of the two small marginals that meet them, ``way`` of the way from the corpus's own mix; None where rounds don't get nearer."""
+        targets = [(of, way * fill + (1 - way) * own * held) for of, held, fill in filled]
+        aimed = wanted_rows.withColumn("target", F.lit(way) * F.col("filled") + F.lit((1 - way) * own) * F.col("own"))
+        factors, seen = [np.ones(len(target)) for _, target in targets], []
+        while goal:
+            given = _doubles(factors[0][of_lang] * factors[1][of_topic])
+            told = lambda f: F.transform("held", lambda x: F.struct(x["i"].alias("i"), (x["t"] * _chance(f, F.get(given, x["i"]))).alias("m"), F.when(f * F.get(given, x["i"]) >= 1, x["t"]).otherwise(0.0).alias("c")))
+            met, cut = np.zeros(len(pairs)), np.zeros(len(pairs))
+            for r in aimed.select(F.inline(_let(_factor(given), told))).groupBy("i").agg(F.sum("m").alias("m"), F.sum("c").alias("c")).collect():
+                met[r.i], cut[r.i] = r.m, r.c
+            seen.append(max(float((np.abs(np.bincount(of, met, len(target)) - target) / np.maximum(target, 1e-9 * goal)).max()) for of, target in targets))
+            if seen[-1] < TOLERANCE or not way:
+                return aimed, factors
+            if len(seen) == ROUNDS or (len(seen) > 2 and seen[-1] > 0.85 * seen[-3]):
+                return None
+            free, before = met - cut, [f.copy() for f in factors]
+            for _ in range(20):  # the two small marginals, on the driver's table of pairs
+                for side, (of, target) in enumerate(targets):
+                    fixed, open_ = np.bincount(of, cut, len(target)), np.bincount(of, free, len(target))
+                    scale = np.where(target > fixed, np.divide(target - fixed, open_, out=np.ones_like(target), where=open_ > 0), np.divide(target, fixed + open_, out=np.ones_like(target), where=fixed + open_ > 0))
+                    new = np.clip(factors[side] * np.clip(scale, 0.1, 10.0), _NEAR, _FAR)
+                    free *= (new / factors[side])[of]
+                    factors[side] = new
+            factors = [np.clip(old * (new / old) ** STRIDE, _NEAR, _FAR) for old, new in zip(before, factors, strict=True)]
+        return aimed, factors  # nothing to keep
+
+    ways = [i / STEPS for i in range(STEPS, -1, -1)] if goal else [0.0]
+    way, (aimed, factors) = next((way, found) for way in ways if (found := fit(way)))
+    if goal and way < 1:
+        warnings.warn(f"the marginals rule each other out; those {way:.0%} of the way from the corpus's own mix are met", stacklevel=2)
+    given = _doubles(factors[0][of_lang] * factors[1][of_topic])
     fitted = lambda f: F.transform("held", lambda x: F.struct(x["i"].alias("i"), F.least(F.lit(_FAR), f * F.get(given, x["i"])).alias("weight")))
-    each = rows.select("source", F.inline(_let(_factor(given), fitted))).join(index, "i")
+    each = aimed.select("source", F.inline(_let(_factor(given), fitted))).join(index, "i")
     fits = each.select("source", "lang", "topic", "weight", F.least(F.lit(1.0), "weight").alias("probability"))
     others = every.where("NOT open").select("source", "lang", "topic", F.lit(0.0).alias("weight"), F.lit(0.0).alias("probability"))
     return written(fits.unionByName(others), "mix-fitted")
