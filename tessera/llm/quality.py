@@ -184,7 +184,7 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 18):
                 found = [sorted(text_features(t)) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("hash"), pa.array(found, pa.list_(pa.string()))], schema.names)
 
