@@ -16,7 +16,7 @@ from tessera.sources.shared import fresh_path
 from tessera.sources.tables import load
 
 
-@query("S1", "S2", "S3", "S4", "S7", "S12", oracle="SELECT true AS active, 'false' AS ansi, 'none' AS unset, 'tessera' AS described, true AS refused")
+@query("S1", "S2", "S3", "S4", "S7", "S12", "X6", oracle="SELECT true AS active, 'false' AS ansi, 'none' AS unset, 'tessera' AS described, true AS refused, true AS configured")
 def session_conf(spark, sf_dir):
     from pyspark.errors import AnalysisException
 
@@ -30,7 +30,7 @@ def session_conf(spark, sf_dir):
     told = spark.sparkContext.getLocalProperty("callSite.short")
     spark.sparkContext.setLocalProperty("callSite.short", None)
     active = spark.getActiveSession() is not None and all(spark.conf.get(k) == v for k, v in PROFILE.items())
-    return create_dataframe(spark, [{"active": active, "ansi": spark.conf.get("spark.sql.ansi.enabled"), "unset": spark.conf.get("tessera.none", "none"), "described": told, "refused": refused}])
+    return create_dataframe(spark, [{"active": active, "ansi": spark.conf.get("spark.sql.ansi.enabled"), "unset": spark.conf.get("tessera.none", "none"), "described": told, "refused": refused, "configured": spark.sparkContext.getConf().contains("spark.app.name")}])
 
 
 @query("S5", oracle="SELECT 'call_stack' AS caller, 2::BIGINT AS frames, 0::BIGINT AS without, count(*) AS n FROM region")
