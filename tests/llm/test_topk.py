@@ -77,3 +77,22 @@ def test_pruning_skips_blocks(monkeypatch):
     want = np.argsort(-every, 1, kind="stable")[:, :5]
     assert (ids.reshape(-1, 5) == want).all() and (score.reshape(-1, 5) == np.take_along_axis(every, want, 1)).all()
     assert sum(scored[2:]) < 0.5 * every.size
+
+
+def test_choices_of_every_range_send_no_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "RANGE", 50)
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    monkeypatch.setattr(topk, "GROUP", 16)
+    monkeypatch.setattr(topk, "COMPONENTS", 8 * 100, raising=False)  # three blocks of queries and parts of two ranges
+    held, found = [], []
+    written, searched = topk.written, topk._searched
+    monkeypatch.setattr(topk, "written", lambda df, name: (held.append((name, out.count())) if "v" in (out := written(df, name)).columns else None) or out)
+    monkeypatch.setattr(topk, "_searched", lambda *given: found.append(searched(*given)) or found[-1])
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(2000, 8)) / 8)]  # nothing is near, so bounds exclude little
+    rows += [(i, [0.25] * 8) for i in range(2000, 2400)] + [(40, [0.125] * 8)] * 3
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, 10).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, 5, 10)
+    n_ranges = len(rows) / topk.RANGE
+    assert max(n for _, n in held) < 1.2 * len(rows), held  # not a row for each query and range, with its vector
+    assert found[1].count() < 240 * 5 * n_ranges / 2  # k a part, not k a range
